@@ -28,6 +28,8 @@ TWICE = ("cp1252", "latin-1", "cp1250", "cp1251", "cp437", "mac_roman")
 #: Documents that must hold a word before its garbled forms are looked for, and how many times as frequent as the form the original must be: little where
 #: UTF-8 was read as another encoding and left signs among letters, which chance doesn't, much where the form could be a word.
 MIN_DOCS, MIN_RATIO, MIN_RATIO_OTHER = 2, 2, 6
+#: A form that looks like a word (letters of one script) counts only in documents with that many of them.
+MIN_WORDLIKE = 2
 
 _SPLIT = re.compile(r"[^ \t\r\n]*[^\x00-\x7f][^ \t\r\n]*")
 _RUN = re.compile(r"[^\x00-\x7f]+")
@@ -53,9 +55,20 @@ def _read(data: bytes, encoding: str, hole: str) -> str:
     return data.decode("latin-1").translate(_TABLES[encoding, hole])
 
 
-def garbled_forms(word: str, sure: bool) -> dict[str, tuple[str, bool]]:
-    """Garbled form -> (chain, whether it is a certain sign): UTF-8 read as another encoding once or twice, with its holes kept, marked or lost and
-    with control characters or no-break spaces lost afterwards; and, if sure (the word is frequent enough), one encoding read as another."""
+def _wordlike(form: str) -> bool:
+    """Letters of one script only; ª and º, which are letters for Unicode, are signs here."""
+    if not form.isalpha() or "ª" in form or "º" in form:
+        return False
+    latin = [c < "\u0250" for c in form]
+    return all(latin) or not any(latin)
+
+
+def garbled_forms(word: str, frequent: bool) -> dict[str, tuple[str, int, bool]]:
+    """Garbled form -> (chain, times that the original must be as frequent, whether it is a sign by itself).
+
+    The chains: UTF-8 read as another encoding once or twice, with bytes that have no meaning there kept, marked or lost; another encoding read as UTF-8;
+    and, for frequent words, one encoding read as another and forms that lost control characters or no-break spaces afterwards.
+    """
     out: dict[str, tuple[str, bool]] = {}
     data = word.encode("utf-8", "surrogatepass")
     for e in ONE_BYTE:
@@ -64,27 +77,33 @@ def garbled_forms(word: str, sure: bool) -> dict[str, tuple[str, bool]]:
             out.setdefault(g, (f"utf-8>{e}", hole != "lost"))
             for e2 in dict.fromkeys((*TWICE, e)):
                 out.setdefault(_read(g.encode(), e2, hole), (f"utf-8>{e}>{e2}", hole != "lost"))
-    for e in ONE_BYTE if sure else ():
+    for e in ONE_BYTE if frequent else ():
         g = _read(data, e, "kept")
         out.setdefault(g.translate(_CONTROLS), (f"utf-8>{e}, controls lost", False))
         out.setdefault(g.replace("\xa0", ""), (f"utf-8>{e}, spaces lost", False))
-    if sure:
-        for source in (*ONE_BYTE, *MULTI_BYTE):
-            try:
-                own = word.encode(source)
-            except UnicodeEncodeError:
-                continue
-            for errors in ("replace", "ignore"):
-                out.setdefault(own.decode("utf-8", errors), (f"{source}>utf-8", False))
+    for source in (*ONE_BYTE, *MULTI_BYTE):
+        try:
+            own = word.encode(source)
+        except UnicodeEncodeError:
+            continue
+        out.setdefault(own.decode("utf-8", "replace"), (f"{source}>utf-8", len(word) > 2))
+        if frequent:
+            out.setdefault(own.decode("utf-8", "ignore"), (f"{source}>utf-8", False))
             for e in ONE_BYTE:
                 if e != source:
                     for hole in ("kept", "marked", "lost"):
                         out.setdefault(_read(own, e, hole), (f"{source}>{e}", False))
-        for e in MULTI_BYTE:
-            for errors in ("replace", "ignore"):
-                out.setdefault(data.decode(e, errors), (f"utf-8>{e}", False))
-    out = {g: (chain, certain and not g.isalpha()) for g, (chain, certain) in out.items()}
-    return {g: c for g, c in out.items() if len(g) >= (2 if c[1] else 3) and not g.isascii() and g != word}
+    for e in MULTI_BYTE if frequent else ():
+        for errors in ("replace", "ignore"):
+            out.setdefault(data.decode(e, errors), (f"utf-8>{e}", False))
+    kept = {}
+    for g, (chain, certain) in out.items():
+        wordlike = _wordlike(g)
+        certain = certain and not wordlike
+        if len(g) >= (2 if certain else 3) and not g.isascii() and g != word and g.strip("�"):
+            grown = chain.startswith("utf-8>") and len(word) > 2 and len(g) > len(word)
+            kept[g] = (chain, MIN_RATIO if certain else MIN_RATIO_OTHER, grown or not wordlike)
+    return kept
 
 
 def unescaped(text: str) -> str:
@@ -120,17 +139,17 @@ def vocabulary(words: DataFrame) -> DataFrame:
 
 
 def garble_table(vocab: DataFrame) -> DataFrame:
-    """(word, origin, chain) of the words of vocab that are a garbled form of another word; vocab should be cut.
+    """(word, origin, chain, alone) of the words of vocab that are a garbled form of another word; vocab should be cut.
 
     Of several originals the most frequent one is taken, then the least.
     """
 
     def forms(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = ["word", "origin", "n_origin", "chain", "certain"]
+        columns = ["word", "origin", "n_origin", "chain", "ratio", "alone"]
         for pdf in frames:
             rows = []
             for word, n in zip(pdf["word"], pdf["n_docs"], strict=True):
-                rows += [(g, word, n, chain, certain) for g, (chain, certain) in garbled_forms(word, n >= MIN_RATIO_OTHER).items()]
+                rows += [(g, word, n, *how) for g, how in garbled_forms(word, n >= MIN_RATIO_OTHER).items()]
                 if len(rows) > 50_000:
                     yield pd.DataFrame(rows, columns=columns)
                     rows = []
@@ -139,28 +158,28 @@ def garble_table(vocab: DataFrame) -> DataFrame:
     attested = vocab.filter((F.col("n_docs") >= MIN_DOCS) & (F.length("word") <= 100)).select("word", "n_docs")
     # words are handed out evenly: one word has a thousand forms
     spread = attested.repartition(attested.sparkSession.sparkContext.defaultParallelism * 4)
-    made = spread.mapInPandas(forms, "word string, origin string, n_origin bigint, chain string, certain boolean")
+    made = spread.mapInPandas(forms, "word string, origin string, n_origin bigint, chain string, ratio int, alone boolean")
     hits = made.join(broadcast_if_bounded(vocab), "word")
-    ratio = F.when(F.col("certain"), MIN_RATIO).otherwise(MIN_RATIO_OTHER)
-    kept = hits.filter(F.col("n_origin") >= ratio * F.col("n_folded"))
-    best = kept.groupBy("word").agg(F.min(F.struct((-F.col("n_origin")).alias("n"), "origin", "chain")).alias("best"))
-    return best.select("word", "best.origin", "best.chain")
+    kept = hits.filter(F.col("n_origin") >= F.col("ratio") * F.col("n_folded"))
+    best = kept.groupBy("word").agg(F.min(F.struct((-F.col("n_origin")).alias("n"), "origin", "chain", "alone")).alias("best"))
+    return best.select("word", "best.origin", "best.chain", "best.alone")
 
 
 def garbled_words(docs: DataFrame) -> DataFrame:
-    """(doc_id, word, origin, chain): the garbled words of each document.
+    """(doc_id, hits): each garbled document with the array of its garbled words (word, origin, chain).
 
     A document with a null key or text has none. The words are taken from the texts twice rather than stored, as the texts are read
     faster than they would be written.
     """
     words = document_words(docs)
     table = cut(garble_table(cut(vocabulary(words))))
-    return words.join(broadcast_if_bounded(table), "word")
+    found = words.join(broadcast_if_bounded(table), "word").groupBy("doc_id").agg(F.collect_set(F.struct("word", "origin", "chain", "alone")).alias("hits"))
+    return found.filter(F.exists("hits", lambda h: h["alone"]) | (F.size("hits") >= MIN_WORDLIKE))
 
 
 def garbled_documents(docs: DataFrame) -> DataFrame:
     """(doc_id) with at least one garbled word."""
-    return garbled_words(docs).select("doc_id").distinct()
+    return garbled_words(docs).select("doc_id")
 
 
 def restore(text: str, hits: list[tuple[str, str, str]]) -> tuple[str, int, int]:
@@ -206,8 +225,7 @@ def restore(text: str, hits: list[tuple[str, str, str]]) -> tuple[str, int, int]
 
 def restored_documents(docs: DataFrame) -> DataFrame:
     """(doc_id, text, n_restored, n_left): the garbled documents with their originals put back where they can be known."""
-    hits = garbled_words(docs).groupBy("doc_id").agg(F.collect_set(F.struct("word", "origin", "chain")).alias("hits"))
-    rows = docs.select("doc_id", "text").join(hits, "doc_id")
+    rows = docs.select("doc_id", "text").join(garbled_words(docs), "doc_id")
 
     def fix(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
