@@ -52,14 +52,14 @@ def _cut_slice(digest: DataFrame, need: str) -> DataFrame:
 
 
 def category_report(typed: DataFrame, targets: DataFrame) -> DataFrame:
-    """Per row of targets what was asked for, what there is, and the feasible quota.
+    """Per row of targets what was asked for, what there is, and the feasible quota; typed should be cut.
 
     target_rows = target_share * sample_frac * N over the N distinct instances; quota is the larger of target_rows (rounded) and min_rows, but no more
     than there is; exhausted if either can't be met. A null share, fraction or minimum asks for nothing. Repeated target rows are one.
     """
     counts = typed.groupBy("type").agg(F.count(F.lit(1)).alias("available")).withColumnRenamed("type", "__type")
-    total = counts.agg(F.coalesce(F.sum("available"), F.lit(0)).alias("n_total"))
-    want = targets.select("sample_id", "type", "target_share", "sample_frac", "min_rows").distinct().crossJoin(F.broadcast(total))  # one row
+    n_total = typed.count()
+    want = targets.select("sample_id", "type", "target_share", "sample_frac", "min_rows").distinct().withColumn("n_total", F.lit(n_total).cast("long"))
     joined = want.join(broadcast_if_bounded(counts), F.coalesce(clean_type(F.col("type")), F.lit(OTHER)) == F.col("__type"), "left").drop("__type")
     asked = F.coalesce(F.col("target_share") * F.col("sample_frac") * F.col("n_total"), F.lit(0.0))
     least = F.coalesce(F.col("min_rows"), F.lit(0))
