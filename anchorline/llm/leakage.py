@@ -13,7 +13,6 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -33,23 +32,33 @@ MIN_SHARE = 0.45
 _TAG = re.compile(r"<[^<>\n]{1,200}>")
 _REF = re.compile(r"\[\d{1,4}\]")
 _INNER = re.compile(r"(?<=\w)['’‘`´ʼ\-‐‑­​](?=\w)|[­​-‍﻿]")
-_WORD = re.compile(r"[^\W_]+")
 #: Letters that no decomposition maps to their base, fixed.
-_FOLD = str.maketrans({"ø": "o", "ł": "l", "đ": "d", "ð": "d", "þ": "th", "æ": "ae", "œ": "oe", "ß": "ss", "ı": "i", "ħ": "h"})
+_BASE = {"ø": "o", "ł": "l", "đ": "d", "ð": "d", "þ": "th", "æ": "ae", "œ": "oe", "ı": "i", "ħ": "h"}
+
+
+class _Fold(dict):
+    """Each character as it counts in a word: without case and accents, a space where it is no letter or digit. Filled as characters turn up."""
+
+    def __missing__(self, code: int) -> str:
+        whole = unicodedata.normalize("NFKD", unicodedata.normalize("NFKD", chr(code)).casefold())
+        out = "".join(_BASE.get(c, c) if c.isalnum() else " " for c in whole if not unicodedata.combining(c))
+        self[code] = out
+        return out
+
+
+_FOLD = _Fold()
 
 
 def normal_words(text: str | None) -> list[str]:
     """Words without regard to letter case, accents, punctuation, spacing, tags, entities and reference marks."""
     if not text:
         return []
-    t = _REF.sub(" ", _TAG.sub("", html.unescape(text) if "&" in text else text))
-    t = _INNER.sub("", t)
-    if not t.isascii():
-        t = "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c))
-    t = t.casefold()
-    if not t.isascii():
-        t = "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)).translate(_FOLD)
-    return _WORD.findall(t)
+    t = html.unescape(text) if "&" in text else text
+    if "<" in t:
+        t = _TAG.sub("", t)
+    if "[" in t:
+        t = _REF.sub(" ", t)
+    return _INNER.sub("", t).translate(_FOLD).split()
 
 
 def _normal() -> Column:
@@ -156,7 +165,8 @@ def leaks(documents: DataFrame, items: DataFrame, min_share: float = MIN_SHARE)
     docs, tests = prepared(documents, "doc_id"), cut(prepared(items, "item_id"))
     pairs = cut(candidates(docs, tests, min_share))
     few = bounded(pairs)
-    texts = docs.join(F.broadcast(pairs.select("doc_id").distinct()) if few else pairs.select("doc_id").distinct(), "doc_id", "left_semi")
+    hit = pairs.select("doc_id").distinct()
+    texts = prepared(documents.select("doc_id", "text").join(F.broadcast(hit) if few else hit, "doc_id", "left_semi"), "doc_id")
     rows = pairs.join(texts.withColumnRenamed("words", "doc_words"), "doc_id").join(broadcast_if_bounded(tests, 20_000).withColumnRenamed("words", "item_words"), "item_id")
 
     @F.pandas_udf("double")
