@@ -2,31 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from anchorline.operators import nested, usage
+from anchorline.registry import ORACLE, QUERIES, query
 from anchorline.session import read_table
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE: dict[str, str] = {}
-
-
-def query(sql: str | None = None, name: str | None = None) -> Callable[[Query], Query]:
-    """Register a query under its function's name and, if there is one, its SQL."""
-
-    def add(f: Query) -> Query:
-        key = name or f.__name__
-        QUERIES[key] = f
-        if sql:
-            ORACLE[key] = sql
-        return f
-
-    return add
-
+__all__ = ["ORACLE", "QUERIES"]
 
 _IMAGES_SQL = """
 with e as (select entry_id, unnest(ambiguities) e, generate_subscripts(ambiguities, 1) - 1 entity_idx from mention_entries),
@@ -86,3 +68,6 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 @query(_USAGE_SQL)
 def p4_usage(spark: SparkSession, d: str) -> DataFrame:
     return usage.usage_by_url(read_table(spark, d, "image_usage"))
+
+
+from anchorline import queries_annotation, queries_split, queries_stats, queries_text  # noqa: E402,F401
