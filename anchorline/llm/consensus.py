@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from anchorline.operators.skew import skew_join
-from anchorline.session import bounded, cut
+from anchorline.session import bounded, cut, pick
 
 #: Standard normal quantile of the two-sided 95 % interval.
 Z = 1.959963984540054
@@ -27,7 +27,7 @@ def annotator_labels(states: DataFrame) -> DataFrame:
     """
     who = F.coalesce(F.nullif("user_id", F.lit("")), "folder")
     name = F.try_element_at(F.try_element_at("value", F.lit(1)), F.lit(1))["name"]
-    rows = states.select(who.alias("user_id"), "exported_at", F.explode("instance_id_to_label_to_value").alias("key", "value"))
+    rows = pick(states, "user_id", "folder", "exported_at", "instance_id_to_label_to_value").select(who.alias("user_id"), "exported_at", F.explode("instance_id_to_label_to_value").alias("key", "value"))
     label = F.nullif(F.upper(F.regexp_replace(name, r"(?U)^\s+|\s+$", "")), F.lit(""))
     flat = rows.select("user_id", F.expr("try_cast(trim(key) AS BIGINT)").alias("instance_id"), F.struct(F.coalesce("exported_at", F.lit("0001-01-01").cast("timestamp_ntz")).alias("at"), label.alias("label")).alias("given"))
     kept = flat.filter(F.col("given.label").isNotNull() & F.col("instance_id").isNotNull())

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from anchorline.session import broadcast_if_bounded, cut
+from anchorline.session import broadcast_if_bounded, cut, pick
 
 #: One-byte encodings and multi-byte ones that texts are mistaken for, fixed.
 ONE_BYTE = ("cp1252", "latin-1", "cp1250", "cp1251", "cp1253", "cp1254", "cp1257", "iso8859-2", "iso8859-5", "iso8859-7", "iso8859-15", "koi8-r", "mac_roman", "mac_cyrillic", "cp437", "cp737", "cp850", "cp852", "cp866")
@@ -127,7 +127,7 @@ def document_words(docs: DataFrame) -> DataFrame:
     def words(texts: pd.Series) -> pd.Series:
         return texts.map(words_of)
 
-    marked = docs.filter(F.col("doc_id").isNotNull() & F.col("text").rlike(r"[^\x00-\x7f]|&[#A-Za-z]")).select("doc_id", "text")
+    marked = pick(docs, "doc_id", "text").filter(F.col("doc_id").isNotNull() & F.col("text").rlike(r"[^\x00-\x7f]|&[#A-Za-z]")).select("doc_id", "text")
     return marked.select("doc_id", F.explode(words("text")).alias("word"))
 
 
@@ -225,7 +225,7 @@ def restore(text: str, hits: list[tuple[str, str, str]]) -> tuple[str, int, int]
 
 def restored_documents(docs: DataFrame) -> DataFrame:
     """(doc_id, text, n_restored, n_left): the garbled documents with their originals put back where they can be known."""
-    rows = docs.select("doc_id", "text").join(garbled_words(docs), "doc_id")
+    rows = pick(docs, "doc_id", "text").join(garbled_words(docs), "doc_id")
 
     def fix(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from anchorline.session import bounded, broadcast_if_bounded, cut
+from anchorline.session import bounded, broadcast_if_bounded, cut, pick
 
 #: Words of an n-gram, the shortest stretch that counts as copied.
 N = 4
@@ -77,7 +77,7 @@ def _grams(words: Column) -> Column:
 
 def prepared(df: DataFrame, key: str) -> DataFrame:
     """(key, words) of the rows with a key and at least one word."""
-    rows = df.filter(F.col(key).isNotNull() & F.col("text").isNotNull()).select(key, _normal()(F.col("text")).alias("normal")).filter(F.col("normal") != "")
+    rows = pick(df, key, "text").filter(F.col(key).isNotNull() & F.col("text").isNotNull()).select(key, _normal()(F.col("text")).alias("normal")).filter(F.col("normal") != "")
     return rows.select(key, F.split("normal", " ").alias("words"))
 
 
@@ -166,7 +166,7 @@ def leaks(documents: DataFrame, items: DataFrame, min_share: float = MIN_SHARE)
     pairs = cut(candidates(docs, tests, min_share))
     few = bounded(pairs)
     hit = pairs.select("doc_id").distinct()
-    texts = prepared(documents.select("doc_id", "text").join(F.broadcast(hit) if few else hit, "doc_id", "left_semi"), "doc_id")
+    texts = prepared(pick(documents, "doc_id", "text").join(F.broadcast(hit) if few else hit, "doc_id", "left_semi"), "doc_id")
     rows = pairs.join(texts.withColumnRenamed("words", "doc_words"), "doc_id").join(broadcast_if_bounded(tests, 20_000).withColumnRenamed("words", "item_words"), "item_id")
 
     @F.pandas_udf("double")

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from anchorline.operators.skew import skew_join
-from anchorline.session import bounded, cut, parallelism
+from anchorline.session import bounded, cut, parallelism, pick
 
 #: Items in a block of a record.
 BLOCK = 128
@@ -90,7 +90,7 @@ def count_pairs(members: DataFrame, min_records: int = 1, min_lift: float = 0.0)
     record count, a null record is left out. Result: item_a < item_b, n_records, n_a, n_b, n_together, lift = n_together * n_records / (n_a * n_b), and
     odds_ratio, each cell of its 2x2 table raised by 0.5. An empty table gives no pairs.
     """
-    members = cut(members.filter(F.col("record").isNotNull()).select("record", "item").distinct())
+    members = cut(pick(members, "record", "item").filter(F.col("record").isNotNull()).distinct())
     n_records = members.select("record").distinct().count()
     singles = members.filter(F.col("item").isNotNull()).groupBy("item").agg(F.count(F.lit(1)).alias("n_item"))
     useful = singles.filter(F.col("n_item") >= min_records)
@@ -126,12 +126,12 @@ def count_pairs(members: DataFrame, min_records: int = 1, min_lift: float = 0.0)
 
 def image_members(images: DataFrame) -> DataFrame:
     """One record per distinct non-empty url with a non-empty used_by; the lists of rows with the same url are united."""
-    return images.filter((F.col("url") != "") & (F.size("used_by") > 0)).select(F.col("url").alias("record"), F.explode("used_by").alias("item"))
+    return pick(images, "url", "used_by").filter((F.col("url") != "") & (F.size("used_by") > 0)).select(F.col("url").alias("record"), F.explode("used_by").alias("item"))
 
 
 def candidate_members(instances: DataFrame) -> DataFrame:
     """One record per distinct image.url of the instances, also without candidates."""
-    return instances.select(F.col("image.url").alias("record"), F.explode_outer("visual_candidates").alias("item"))
+    return pick(instances, "image", "visual_candidates").select(F.col("image.url").alias("record"), F.explode_outer("visual_candidates").alias("item"))
 
 
 def frequent_pairs(images: DataFrame, instances: DataFrame, min_records: int = 6, min_lift: float = 3.0) -> DataFrame:

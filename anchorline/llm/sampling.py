@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from anchorline.operators.skew import skew_join
-from anchorline.session import broadcast_if_bounded, cut
+from anchorline.session import broadcast_if_bounded, cut, pick
 
 OTHER = "OTHER"
 _SLICE_BITS = 12
@@ -30,6 +30,7 @@ def typed_instances(instances: DataFrame, kb: DataFrame) -> DataFrame:
     The type is that of the answer's entity, OTHER if the answer is null or unknown or its type null or blank. Where copies of an instance or an entity
     disagree, the least value counts. Frequent answers are split over tasks.
     """
+    instances, kb = pick(instances, "instance_id", "answer"), pick(kb, "qid", "type")
     one = instances.filter(F.col("instance_id").isNotNull()).groupBy("instance_id").agg(F.min("answer").alias("answer"))
     types = kb.filter(F.col("qid").isNotNull()).groupBy(F.col("qid").alias("answer")).agg(F.min(clean_type(F.col("type"))).alias("type"))
     return skew_join(one, types, "answer", "left").select("instance_id", F.coalesce("type", F.lit(OTHER)).alias("type"))
@@ -59,7 +60,7 @@ def category_report(typed: DataFrame, targets: DataFrame) -> DataFrame:
     """
     counts = typed.groupBy("type").agg(F.count(F.lit(1)).alias("available")).withColumnRenamed("type", "__type")
     n_total = typed.count()
-    want = targets.select("sample_id", "type", "target_share", "sample_frac", "min_rows").distinct().withColumn("n_total", F.lit(n_total).cast("long"))
+    want = pick(targets, "sample_id", "type", "target_share", "sample_frac", "min_rows").distinct().withColumn("n_total", F.lit(n_total).cast("long"))
     joined = want.join(broadcast_if_bounded(counts), F.coalesce(clean_type(F.col("type")), F.lit(OTHER)) == F.col("__type"), "left").drop("__type")
     asked = F.coalesce(F.col("target_share") * F.col("sample_frac") * F.col("n_total"), F.lit(0.0))
     least = F.coalesce(F.col("min_rows"), F.lit(0))

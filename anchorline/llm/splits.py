@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from anchorline.operators.skew import skew_join
-from anchorline.session import cut
+from anchorline.session import cut, pick
 
 SPLITS = {"train": 0.8, "validation": 0.1, "test": 0.1}
 
@@ -58,7 +58,7 @@ def groups(instances: DataFrame) -> DataFrame:
 
     Copies of an instance are one; if they differ in mention or answer, all their values link. Null or empty mentions and null answers link nothing.
     """
-    rows = instances.filter(F.col("instance_id").isNotNull()).select("instance_id", mention_key(F.col("mention")).alias("mention"), "answer").distinct()
+    rows = pick(instances, "instance_id", "mention", "answer").filter(F.col("instance_id").isNotNull()).select("instance_id", mention_key(F.col("mention")).alias("mention"), "answer").distinct()
     rows = cut(_least_sharer(_least_sharer(cut(rows), "mention", "m"), "answer", "a"))
     # a mention or answer is stood for by the least instance that has it, so the graph has as many nodes as there are mentions and answers
     known = F.array_distinct(F.flatten(F.array(F.collect_set("m"), F.collect_set("a"))))
