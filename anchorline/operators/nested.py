@@ -13,6 +13,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from anchorline.session import pick
+
 LISTS = ("page_imglist", "commons_imglist")
 ENTITY_FIELDS = ("name", "desc", "intro", "type", "infobox_img", "url_wikipedia")
 IMAGE_FIELDS = ("n_used_by", "is_infobox", "width", "height", "mime", "license")
@@ -48,13 +50,14 @@ def _per_image(row: Callable[[Column, Column, str, Column, Column], Column]) ->
 
 def entries(df: DataFrame) -> DataFrame:
     """One row per entry; copies of an entry are one row. Columns of df that aren't named here are left out."""
-    return df.select("entry_id", "mention", "n_entities", "n_visual_ambiguities", "n_grounded_entities", F.size(F.coalesce("categories", F.array().cast("array<string>"))).alias("n_categories")).distinct()
+    rows = pick(df, "entry_id", "mention", "categories", "n_entities", "n_visual_ambiguities", "n_grounded_entities")
+    return rows.select("entry_id", "mention", "n_entities", "n_visual_ambiguities", "n_grounded_entities", F.size(F.coalesce("categories", F.array().cast("array<string>"))).alias("n_categories")).distinct()
 
 
 def entities(df: DataFrame) -> DataFrame:
     """One row per entity and entry, keyed by (entry_id, entity_idx)."""
     rows = _each(F.col("ambiguities"), lambda e, i: F.struct(*_entity_keys(e, i), *[e[f].alias(f) for f in ENTITY_FIELDS]))
-    return df.select(F.inline(rows)).distinct()
+    return pick(df, "entry_id", "ambiguities").select(F.inline(rows)).distinct()
 
 
 def images(df: DataFrame, fields: tuple[str, ...] = IMAGE_FIELDS) -> DataFrame:
@@ -68,7 +71,7 @@ def images(df: DataFrame, fields: tuple[str, ...] = IMAGE_FIELDS) -> DataFrame:
         named = F.when(e["qid"].isNotNull(), F.coalesce(F.array_contains(F.coalesce(im["used_by"], F.array().cast("array<string>")), e["qid"]), F.lit(False)))
         return F.array(F.struct(*_entity_keys(e, i), F.lit(name).alias("img_list"), k.alias("image_idx"), im["url"].alias("url"), *[im[f].alias(f) for f in fields], named.alias("names_entity")))
 
-    return df.select(F.inline(_per_image(row))).distinct()
+    return pick(df, "entry_id", "ambiguities").select(F.inline(_per_image(row))).distinct()
 
 
 def image_users(df: DataFrame) -> DataFrame:
@@ -77,7 +80,7 @@ def image_users(df: DataFrame) -> DataFrame:
     def row(e: Column, i: Column, name: str, im: Column, k: Column) -> Column:
         return _each(im["used_by"], lambda u, j: F.struct(*_entity_keys(e, i), F.lit(name).alias("img_list"), k.alias("image_idx"), im["url"].alias("url"), j.alias("user_idx"), u.alias("user_qid")))
 
-    return df.select(F.inline(_per_image(row))).distinct()
+    return pick(df, "entry_id", "ambiguities").select(F.inline(_per_image(row))).distinct()
 
 
 def unnamed_images(df: DataFrame) -> DataFrame:

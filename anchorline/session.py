@@ -36,6 +36,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def pick(df: DataFrame, *names: str) -> DataFrame:
+    """Just these columns, also if df has others of the same name or one that differs in letter case only; of equal names the first counts."""
+    if len({c.lower() for c in df.columns}) < len(df.columns):
+        first = {n: df.columns.index(n) for n in names}
+        df = df.toDF(*[n if (n := c) in first and first[n] == i else f"__other{i}" for i, c in enumerate(df.columns)])
+    return df.select(*names)
+
+
 def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     """Write df to the shared checkpoint folder and go on from the files, so that a lost executor costs no recomputation.
 
