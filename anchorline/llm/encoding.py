@@ -31,7 +31,7 @@ MIN_DOCS, MIN_RATIO, MIN_RATIO_OTHER = 2, 2, 6
 #: A form that looks like a word (letters of one script) counts only in documents with that many of them.
 MIN_WORDLIKE = 2
 
-_SPLIT = re.compile(r"[^ \t\r\n]*[^\x00-\x7f][^ \t\r\n]*")
+_SPLIT = re.compile(r"[^ \t\r\n]+")
 _RUN = re.compile(r"[^\x00-\x7f]+")
 _ENDS = ".,;:()[]'\"*|{}=<>!?"
 _CONTROLS = dict.fromkeys(range(0x80, 0xA0))
@@ -114,6 +114,8 @@ def words_of(text: str | None) -> list[str]:
     """Distinct words with non-ASCII characters, and the runs of such characters in them."""
     found: dict[str, None] = {}
     for w in _SPLIT.findall(unescaped(text or "")):
+        if w.isascii():
+            continue
         w = w.strip(_ENDS)
         found[w] = None
         found.update(dict.fromkeys(_RUN.findall(w)))
@@ -205,6 +207,8 @@ def restore(text: str, hits: list[tuple[str, str, str]]) -> tuple[str, int, int]
     def one(m: re.Match) -> str:
         nonlocal done
         w = m[0]
+        if w.isascii():
+            return w
         core = w.strip(_ENDS)
         if core in origin:
             done += 1
@@ -219,7 +223,8 @@ def restore(text: str, hits: list[tuple[str, str, str]]) -> tuple[str, int, int]
         return _RUN.sub(run, w)
 
     t = _SPLIT.sub(one, t)
-    left = len(re.findall("�", t)) + sum(w in _SPLIT.findall(t) for w in whole)
+    still = set(_SPLIT.findall(t))
+    left = t.count("�") + sum(w in still for w in whole)
     return t, done, left
 
 
