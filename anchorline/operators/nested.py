@@ -54,13 +54,14 @@ def entries(df: DataFrame) -> DataFrame:
     return rows.select("entry_id", "mention", "n_entities", "n_visual_ambiguities", "n_grounded_entities", F.size(F.coalesce("categories", F.array().cast("array<string>"))).alias("n_categories")).distinct()
 
 
-def entities(df: DataFrame) -> DataFrame:
-    """One row per entity and entry, keyed by (entry_id, entity_idx)."""
+def entities(df: DataFrame, distinct: bool = True) -> DataFrame:
+    """One row per entity and entry, keyed by (entry_id, entity_idx); copies of an entry are kept if not distinct."""
     rows = _each(F.col("ambiguities"), lambda e, i: F.struct(*_entity_keys(e, i), *[e[f].alias(f) for f in ENTITY_FIELDS]))
-    return pick(df, "entry_id", "ambiguities").select(F.inline(rows)).distinct()
+    out = pick(df, "entry_id", "ambiguities").select(F.inline(rows))
+    return out.distinct() if distinct else out
 
 
-def images(df: DataFrame, fields: tuple[str, ...] = IMAGE_FIELDS) -> DataFrame:
+def images(df: DataFrame, fields: tuple[str, ...] = IMAGE_FIELDS, distinct: bool = True) -> DataFrame:
     """One row per image in a list, keyed by (entry_id, entity_idx, img_list, image_idx).
 
     names_entity tells whether the image's used_by holds the entity's qid; a null or empty used_by doesn't, and for an entity without qid
@@ -71,7 +72,8 @@ def images(df: DataFrame, fields: tuple[str, ...] = IMAGE_FIELDS) -> DataFrame:
         named = F.when(e["qid"].isNotNull(), F.coalesce(F.array_contains(F.coalesce(im["used_by"], F.array().cast("array<string>")), e["qid"]), F.lit(False)))
         return F.array(F.struct(*_entity_keys(e, i), F.lit(name).alias("img_list"), k.alias("image_idx"), im["url"].alias("url"), *[im[f].alias(f) for f in fields], named.alias("names_entity")))
 
-    return pick(df, "entry_id", "ambiguities").select(F.inline(_per_image(row))).distinct()
+    out = pick(df, "entry_id", "ambiguities").select(F.inline(_per_image(row)))
+    return out.distinct() if distinct else out
 
 
 def image_users(df: DataFrame) -> DataFrame:

@@ -46,7 +46,8 @@ class LoadPlan:
         return F.pmod(F.xxhash64(key), F.lit(len(self.bins))).cast("int")
 
     def _bin_task(self, key: Column) -> Column:
-        return F.element_at(F.array(*[F.lit(b) for b in self.bins]), self.light_bin(key) + 1)
+        # folded to one constant by the optimizer; an array of literals would be as long as there are bins in the generated code
+        return F.element_at(F.split(F.lit(",".join(map(str, self.bins))), ",").cast("array<int>"), self.light_bin(key) + 1)
 
     def frame(self, df: DataFrame, key: str) -> DataFrame:
         """The split keys as rows (key, tasks): one for each heavy key, see the bound above."""

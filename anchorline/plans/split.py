@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from anchorline.functions import strings as S
 from anchorline.operators import nested
 from anchorline.operators.arrays import have_repeat
+from anchorline.session import cut
 
 
 @dataclass(frozen=True)
@@ -83,9 +84,10 @@ def image_ok(rules: SplitRules) -> Column:
 
 @dataclass
 class Scan:
-    """entries (entry_id, mention), pool (entry_id, entity_idx, qid), kb (qid, ...), uses (entry_id, entity_idx, image_idx, qid, url), images (url, ...)."""
+    """entries (entry_id, mention), kept and pool (entry_id, entity_idx, qid), kb (qid, ...), uses (entry_id, entity_idx, image_idx, qid, url), images (url, ...)."""
 
     entries: DataFrame
+    kept: DataFrame
     pool: DataFrame
     kb: DataFrame
     uses: DataFrame
@@ -100,22 +102,32 @@ def _first(df: DataFrame, key: str, order: list[str], fields: list[str]) -> Data
 def scan(mentions: DataFrame, rules: SplitRules, excluded: DataFrame | None = None) -> Scan:
     """Filter and flatten nested mention entries; excluded: (qid) to leave out everywhere."""
     entries = mentions.filter(mention_ok(F.col("mention"), rules) & categories_ok(F.col("categories"), rules))
-    listed = nested.entities(entries).filter(F.col("qid").isNotNull() & entity_ok(rules))
+    # copies go only after the texts are gone, and each flat table is written once instead of being taken out of the nested rows by every reader
+    flat = nested.entities(entries, distinct=False).filter(F.col("qid").isNotNull() & entity_ok(rules))
+    listed = cut(flat.select("entry_id", "entity_idx", "qid", "name", "type", "infobox_img").distinct())
     sizes = listed.groupBy("entry_id").agg(F.count(F.lit(1)).alias("n")).filter(size_ok(F.col("n"), rules.min_pool, rules.max_pool))
     listed = listed.join(sizes.select("entry_id"), "entry_id", "left_semi")
-    body = nested.images(entries).filter((F.col("img_list") == "page_imglist") & S.filled(F.col("url")) & ~F.coalesce("is_infobox", F.lit(False)))
-    uses = body.join(listed.select("entry_id", "entity_idx"), ["entry_id", "entity_idx"], "left_semi")
+    body = nested.images(entries, distinct=False).filter((F.col("img_list") == "page_imglist") & S.filled(F.col("url")) & ~F.coalesce("is_infobox", F.lit(False)))
+    shown = body.select("entry_id", "entity_idx", "image_idx", "qid", "url", "n_used_by", "width", "height", "mime", "license").distinct()
+    uses = cut(shown.join(listed.select("entry_id", "entity_idx"), ["entry_id", "entity_idx"], "left_semi"))
     kept = listed
     if excluded is not None:
         kept = listed.join(excluded, "qid", "left_anti")
         uses = uses.join(excluded, "qid", "left_anti")
-    kb = _first(kept, "qid", ["entry_id", "entity_idx"], ["name", "type", "desc", "intro", "infobox_img", "url_wikipedia"])
+    kb = _first(kept, "qid", ["entry_id", "entity_idx"], ["name", "type", "infobox_img"])
     images = _first(uses, "url", ["entry_id", "entity_idx", "image_idx"], ["n_used_by", "width", "height", "mime", "license"])
-    pool = kept.select("entry_id", "entity_idx", "qid")
+    kept = kept.select("entry_id", "entity_idx", "qid")
+    pool = kept
     if excluded is not None:
         still = pool.groupBy("entry_id").agg(F.count(F.lit(1)).alias("n")).filter(size_ok(F.col("n"), rules.min_pool, rules.max_pool))
         pool = pool.join(still, "entry_id", "left_semi")
-    return Scan(mentions.select("entry_id", "mention").distinct(), pool, kb, uses.select("entry_id", "entity_idx", "image_idx", "qid", "url"), images)
+    return Scan(mentions.select("entry_id", "mention").distinct(), kept, pool, kb, uses.select("entry_id", "entity_idx", "image_idx", "qid", "url"), images)
+
+
+def kb_rows(mentions: DataFrame, s: Scan) -> DataFrame:
+    """The kept entities with their texts, each from the first place that lists it."""
+    flat = nested.entities(mentions, distinct=False).join(s.kept.select("entry_id", "entity_idx"), ["entry_id", "entity_idx"], "left_semi")
+    return _first(flat, "qid", ["entry_id", "entity_idx"], ["name", "type", "desc", "intro", "infobox_img", "url_wikipedia"])
 
 
 def visual_pools(s: Scan) -> DataFrame:

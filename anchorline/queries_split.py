@@ -73,6 +73,14 @@ def strict_cascade_counts(spark: SparkSession, d: str) -> DataFrame:
     return split.cascade(split.judged_pairs(_scan(spark, d, STRICT), STRICT))
 
 
+@query(_SCAN.replace("e.infobox_img infobox_img from raw_e", 'e.infobox_img infobox_img, e."desc" as "desc", e.intro intro, e.url_wikipedia url_wikipedia from raw_e') + """
+select distinct on (qid) qid, name, type, "desc", intro, infobox_img, url_wikipedia from pool order by qid, entry_id, entity_idx""")
+def split_kb(spark: SparkSession, d: str) -> DataFrame:
+    """The knowledge base that a split comes with."""
+    mentions = read_table(spark, d, "mention_entries")
+    return split.kb_rows(mentions, split.scan(mentions, RULES))
+
+
 @query(_SCAN + "select url, array_to_string(v, ' ') visual_candidates, len(v) n from vis")
 def visual_pool(spark: SparkSession, d: str) -> DataFrame:
     return split.visual_pools(_scan(spark, d)).select("url", F.array_join("visual_candidates", " ").alias("visual_candidates"), F.size("visual_candidates").cast("long").alias("n"))

@@ -8,8 +8,9 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A relation of at most this many rows of a few short columns (under about 20 MB) may be broadcast once its rows were counted.
+#: A relation may be broadcast once it was measured and has at most this many rows and characters.
 BROADCAST_ROWS = 200_000
+BROADCAST_CHARS = 20_000_000
 
 
 def build_session(master: str = "local[8]", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
@@ -61,9 +62,11 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager)
 
 
-def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether df, which should be cut or small to compute, has at most so many rows; reads no more than it needs to tell."""
-    return df.limit(rows + 1).count() <= rows
+def bounded(df: DataFrame, rows: int = BROADCAST_ROWS, chars: int = BROADCAST_CHARS) -> bool:
+    """Whether df, which should be cut or small to compute, has at most so many rows and so many characters; reads no more than it needs to tell."""
+    size = F.coalesce(F.sum(F.length(F.struct("*").cast("string")).cast("long")), F.lit(0))
+    n, c = df.limit(rows + 1).agg(F.count(F.lit(1)), size).first()
+    return n <= rows and c <= chars
 
 
 def broadcast_if_bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
