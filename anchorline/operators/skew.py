@@ -119,10 +119,10 @@ def skew_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", p
     """Equi join on one key whose rows on the left are skewed; right is replicated to the shards of the split keys only.
 
     how is inner or left. The columns of right besides the key must not clash with those of left. Null keys never match; with
-    how="left" they are kept. Either side may be empty.
+    how="left" they are kept. Either side may be empty. A split key's rows are divided by a hash of the whole row, so that a task that is run
+    again sends every row where it went before; equal rows stay together and should be combined beforehand if there are many.
     """
     plan = plan or plan_load(left, key)
-    a = left.withColumn("__salt", F.monotonically_increasing_id())
-    a = plan.route(a, key, F.col("__salt")).drop("__salt").repartitionById(plan.tasks, F.col(TASK))
+    a = plan.route(left, key, F.xxhash64(*left.columns)).repartitionById(plan.tasks, F.col(TASK))
     b = plan.replicate(right.filter(F.col(key).isNotNull()), key).repartitionById(plan.tasks, F.col(TASK))
     return a.join(b, [TASK, key], how).drop(TASK)
