@@ -42,12 +42,14 @@ class LoadPlan:
     bins: list[int]
     heavy: dict = field(default_factory=dict)
 
-    def light_bin(self, key: Column) -> Column:
-        return F.pmod(F.xxhash64(key), F.lit(len(self.bins))).cast("int")
+    def light_bin(self, key: Column, spread: Column | None = None) -> Column:
+        """Bin of a light key. Null keys match nothing, so their rows may go anywhere and are divided by spread."""
+        at = F.xxhash64(key) if spread is None else F.when(key.isNull(), F.xxhash64(spread)).otherwise(F.xxhash64(key))
+        return F.pmod(at, F.lit(len(self.bins))).cast("int")
 
-    def _bin_task(self, key: Column) -> Column:
+    def _bin_task(self, key: Column, spread: Column | None = None) -> Column:
         # folded to one constant by the optimizer; an array of literals would be as long as there are bins in the generated code
-        return F.element_at(F.split(F.lit(",".join(map(str, self.bins))), ",").cast("array<int>"), self.light_bin(key) + 1)
+        return F.element_at(F.split(F.lit(",".join(map(str, self.bins))), ",").cast("array<int>"), self.light_bin(key, spread) + 1)
 
     def frame(self, df: DataFrame, key: str) -> DataFrame:
         """The split keys as rows (key, tasks): one for each heavy key, see the bound above."""
@@ -57,10 +59,10 @@ class LoadPlan:
     def route(self, df: DataFrame, key: str, spread: Column) -> DataFrame:
         """df with its task. spread: what a heavy key's rows are divided by; rows with equal spread stay together."""
         if not self.heavy:
-            return df.withColumn(TASK, self._bin_task(F.col(key)))
+            return df.withColumn(TASK, self._bin_task(F.col(key), spread))
         out = df.join(F.broadcast(self.frame(df, key)), key, "left")
         shard = F.pmod(F.xxhash64(spread, F.lit(7)), F.size("__tasks")).cast("int")
-        return out.withColumn(TASK, F.when(F.col("__tasks").isNull(), self._bin_task(F.col(key))).otherwise(F.element_at("__tasks", shard + 1))).drop("__tasks")
+        return out.withColumn(TASK, F.when(F.col("__tasks").isNull(), self._bin_task(F.col(key), spread)).otherwise(F.element_at("__tasks", shard + 1))).drop("__tasks")
 
     def replicate(self, df: DataFrame, key: str) -> DataFrame:
         """The matching side: each row once for every task that holds rows of its key."""
@@ -74,18 +76,18 @@ class LoadPlan:
 def plan_load(df: DataFrame, key: str, tasks: int | None = None) -> LoadPlan:
     """Count rows a key (combined on the map side), split keys above the target load, pack shards and bins onto tasks.
 
-    Null keys and an empty df are fine: null has its own load like any key but is never split, since nothing joins it.
+    Null keys have no load: their rows are spread evenly anyway. An empty df is fine.
     """
     tasks = tasks or parallelism(df.sparkSession)
     n_bins = tasks * BINS_PER_TASK
     plan = LoadPlan(tasks, [b % tasks for b in range(n_bins)])
-    loads = df.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).withColumn("__bin", plan.light_bin(F.col(key)))
+    loads = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("__n")).withColumn("__bin", plan.light_bin(F.col(key)))
     loads = loads.persist()
     try:
         total = loads.agg(F.sum("__n")).first()[0] or 0
         target = max(1.0, total / n_bins)
-        heavy = {r[key]: r["__n"] for r in loads.filter((F.col("__n") > target) & F.col(key).isNotNull()).select(key, "__n").toLocalIterator()}
-        light = {r["__bin"]: r["__s"] for r in loads.filter((F.col("__n") <= target) | F.col(key).isNull()).groupBy("__bin").agg(F.sum("__n").alias("__s")).collect()}
+        heavy = {r[key]: r["__n"] for r in loads.filter(F.col("__n") > target).select(key, "__n").toLocalIterator()}
+        light = {r["__bin"]: r["__s"] for r in loads.filter(F.col("__n") <= target).groupBy("__bin").agg(F.sum("__n").alias("__s")).collect()}
     finally:
         loads.unpersist()
     pieces: dict = {("bin", b): float(light.get(b, 0)) for b in range(n_bins)}

@@ -70,3 +70,11 @@ def test_nothing_reported_is_no_case(spark):
 def test_pack_puts_the_longest_first():
     at = pack({"a": 6, "b": 3, "c": 3}, 2)
     assert at["b"] == at["c"] != at["a"]
+
+
+def test_null_keys_are_spread(spark):
+    df = spark.createDataFrame([(None, i) for i in range(4000)] + [("a", 1)], "k string, i int")
+    plan = plan_load(df, "k", 8)
+    loads = [r["count"] for r in plan.route(df, "k", F.col("i")).groupBy(TASK).count().collect()]
+    assert len(loads) == 8 and max(loads) < 1000
+    assert skew_join(df, spark.createDataFrame([("a", 5)], "k string, x int"), "k", "left").count() == 4001
