@@ -23,14 +23,14 @@ BINS_PER_TASK = 4
 
 
 def pack(loads: dict, tasks: int) -> dict:
-    """Longest-processing-time packing: piece -> task."""
-    heap = [(0.0, t) for t in range(tasks)]
+    """Longest-processing-time packing: piece -> task; of equally loaded tasks the one with fewer pieces is next."""
+    heap = [(0.0, 0, t) for t in range(tasks)]
     heapq.heapify(heap)
     out = {}
     for piece, load in sorted(loads.items(), key=lambda kv: (-kv[1], str(kv[0]))):
-        total, task = heapq.heappop(heap)
+        total, n, task = heapq.heappop(heap)
         out[piece] = task
-        heapq.heappush(heap, (total + load, task))
+        heapq.heappush(heap, (total + load, n + 1, task))
     return out
 
 
