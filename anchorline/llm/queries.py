@@ -41,8 +41,7 @@ report as (select sample_id, s.type as type, target_share, target_share * sample
 @query(_TYPED + "select sample_id, type from report where available < target_rows or available < min_rows")
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     """Types of a sample that can't be met."""
-    typed = sampling.typed_instances(read_table(spark, d, "instances"), read_table(spark, d, "entity_kb"))
-    return sampling.category_report(cut(typed), read_table(spark, d, "sample_targets")).filter("exhausted").select("sample_id", "type")
+    return sampling.unmet(read_table(spark, d, "instances"), read_table(spark, d, "entity_kb"), read_table(spark, d, "sample_targets"))
 
 
 @query(_TYPED + """select sample_id, type, target_rows, cast(available as bigint) available,

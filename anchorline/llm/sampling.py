@@ -52,16 +52,29 @@ def _cut_slice(digest: DataFrame, need: str) -> DataFrame:
     return run.filter((F.col("upto") >= F.col(need)) & (F.col("upto") - F.col("n") < F.col(need))).select("sample_id", "type", F.col("slice").alias("cut"), (F.col(need) - (F.col("upto") - F.col("n"))).alias("rest"))
 
 
-def category_report(typed: DataFrame, targets: DataFrame) -> DataFrame:
-    """Per row of targets what was asked for, what there is, and the feasible quota; typed should be cut.
+def _wanted(targets: DataFrame) -> DataFrame:
+    """The distinct rows of targets with the type they mean."""
+    rows = pick(targets, "sample_id", "type", "target_share", "sample_frac", "min_rows").distinct()
+    return rows.withColumn("__type", F.coalesce(clean_type(F.col("type")), F.lit(OTHER)))
+
+
+def reservoirs(typed: DataFrame, targets: DataFrame, seed: int = 20) -> DataFrame:
+    """The digests (sample_id, type, slice, n) of all reservoirs, built in one pass over typed. Digests of parts of the rows merge by adding n."""
+    pairs = _wanted(targets).select("sample_id", F.col("__type").alias("type")).distinct()
+    rows = typed.join(broadcast_if_bounded(pairs), "type").withColumn("priority", _priority(seed)).withColumn("slice", _slices(0))
+    return rows.groupBy("sample_id", "type", "slice").agg(F.count(F.lit(1)).alias("n"))
+
+
+def category_report(typed: DataFrame, targets: DataFrame, digest: DataFrame) -> DataFrame:
+    """Per row of targets what was asked for, what there is, and the feasible quota; typed and digest should be cut.
 
     target_rows = target_share * sample_frac * N over the N distinct instances; quota is the larger of target_rows (rounded) and min_rows, but no more
     than there is; exhausted if either can't be met. A null share, fraction or minimum asks for nothing. Repeated target rows are one.
     """
-    counts = typed.groupBy("type").agg(F.count(F.lit(1)).alias("available")).withColumnRenamed("type", "__type")
     n_total = typed.count()
-    want = pick(targets, "sample_id", "type", "target_share", "sample_frac", "min_rows").distinct().withColumn("n_total", F.lit(n_total).cast("long"))
-    joined = want.join(broadcast_if_bounded(counts), F.coalesce(clean_type(F.col("type")), F.lit(OTHER)) == F.col("__type"), "left").drop("__type")
+    counts = digest.groupBy(F.col("sample_id").alias("__sample"), F.col("type").alias("__t")).agg(F.sum("n").alias("available"))
+    same = F.col("sample_id").eqNullSafe(F.col("__sample")) & (F.col("__type") == F.col("__t"))
+    joined = _wanted(targets).withColumn("n_total", F.lit(n_total).cast("long")).join(broadcast_if_bounded(counts), same, "left").drop("__type", "__sample", "__t")
     asked = F.coalesce(F.col("target_share") * F.col("sample_frac") * F.col("n_total"), F.lit(0.0))
     least = F.coalesce(F.col("min_rows"), F.lit(0))
     return (
@@ -73,16 +86,16 @@ def category_report(typed: DataFrame, targets: DataFrame) -> DataFrame:
     )
 
 
-def draw(typed: DataFrame, report: DataFrame, seed: int = 20) -> DataFrame:
+def draw(typed: DataFrame, report: DataFrame, reservoir: DataFrame, seed: int = 20) -> DataFrame:
     """(sample_id, instance_id, type): per sample and type exactly quota rows, uniform, the same on every run.
 
-    typed and report should be cut or cheap: both are read several times. Empty inputs give an empty sample.
+    All inputs should be cut: they are read several times. reservoir: as from reservoirs with the same seed. Empty inputs give an empty sample, a null
+    sample_id is reported but not drawn.
     """
-    quotas = broadcast_if_bounded(report.select("sample_id", F.coalesce(clean_type(F.col("type")), F.lit(OTHER)).alias("type"), "quota", "available").filter("quota > 0"))
+    quotas = broadcast_if_bounded(report.select("sample_id", F.coalesce(clean_type(F.col("type")), F.lit(OTHER)).alias("type"), "quota").filter("quota > 0"))
     keys = ["sample_id", "type"]
-    rows = typed.join(quotas, "type").withColumn("priority", _priority(seed))
-    rows0 = rows.withColumn("slice", _slices(0))
-    digest = rows0.groupBy(*keys, "slice").agg(F.count(F.lit(1)).alias("n"), F.first("quota").alias("quota"))
+    rows0 = typed.join(quotas, "type").withColumn("priority", _priority(seed)).withColumn("slice", _slices(0))
+    digest = reservoir.join(quotas, keys)
     first = broadcast_if_bounded(cut(_cut_slice(digest, "quota")))
     marked = rows0.join(first, keys)
     whole = marked.filter("slice < cut")
@@ -99,5 +112,12 @@ def draw(typed: DataFrame, report: DataFrame, seed: int = 20) -> DataFrame:
 def matched_sample(instances: DataFrame, kb: DataFrame, targets: DataFrame, seed: int = 20) -> tuple[DataFrame, DataFrame]:
     """The sample and the report of what could not be met."""
     typed = cut(typed_instances(instances, kb))
-    report = cut(category_report(typed, targets))
-    return draw(typed, report, seed), report
+    reservoir = cut(reservoirs(typed, targets, seed))
+    report = cut(category_report(typed, targets, reservoir))
+    return draw(typed, report, reservoir, seed), report
+
+
+def unmet(instances: DataFrame, kb: DataFrame, targets: DataFrame) -> DataFrame:
+    """(sample_id, type) of the targets that can't be met, from the reservoirs' final counts."""
+    typed = cut(typed_instances(instances, kb))
+    return category_report(typed, targets, cut(reservoirs(typed, targets))).filter("exhausted").select("sample_id", "type")
