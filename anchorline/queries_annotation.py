@@ -144,3 +144,46 @@ def first_to_next_event(spark: SparkSession, d: str) -> DataFrame:
     first = e.filter("event_type = 'view'").groupBy("user_id").agg(F.min("us").alias("t0"))
     later = e.filter("event_type = 'purchase'").join(first, "user_id").filter("us >= t0")
     return later.groupBy("user_id").agg(((F.min("us") - F.first("t0")) / 1e6).alias("seconds"))
+
+
+_BOX = ", ".join(f"round(quantile_cont(t, {q}), 6) {n}" for q, n in ((0.25, "q1"), (0.5, "median"), (0.75, "q3")))
+
+
+@query(_TIMES + f"select category, annotator, count(*) n, round(avg(t), 6) mean, {_BOX}, round(max(t), 6) as max from capped where category is not null group by all")
+def time_box_stats(spark: SparkSession, d: str) -> DataFrame:
+    """Box statistics of the capped times per category and annotator."""
+    t = annotate.cap(_times(spark, d)).filter("category is not null")
+    box = [F.round(F.expr(f"percentile(t, {q})"), 6).alias(n) for q, n in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))]
+    return t.groupBy("category", "annotator").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("t"), 6).alias("mean"), *box, F.round(F.max("t"), 6).alias("max"))
+
+
+@query(_TIMES + ", p as (select quantile_cont(t_raw, 0.95) b from times) select annotator, instance_id, least(t_raw, b) t from times, p")
+def winsorize_p95(spark: SparkSession, d: str) -> DataFrame:
+    return annotate.cap(_times(spark, d), "p95").select("annotator", "instance_id", "t")
+
+
+@query(_LONG + "select category, cast(count_if(not disagree) as bigint) agree, cast(count_if(disagree) as bigint) disagree from voted join cats using (instance_id) where is_multi and category is not null group by 1")
+def agreement_by_category(spark: SparkSession, d: str) -> DataFrame:
+    v = annotate.votes(_long(spark, d)).filter("is_multi").join(_categories(spark, d).filter("category is not null"), "instance_id")
+    return v.groupBy("category").agg(F.count_if(~F.col("disagree")).alias("agree"), F.count_if("disagree").alias("disagree"))
+
+
+@query(_LONG + "select category, annotator, label, count(*) n from long join cats using (instance_id) where category is not null group by cube (annotator), category, label")
+def labels_by_category(spark: SparkSession, d: str) -> DataFrame:
+    """Labels per category, overall (null annotator) and for each annotator."""
+    rows = _long(spark, d).join(_categories(spark, d).filter("category is not null"), "instance_id")
+    return rows.groupingSets([["category", "annotator", "label"], ["category", "label"]], "category", "annotator", "label").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(_LONG + "select is_multi, unanimous, majority, count(*) n, min(instance_id) as first from voted group by 1, 2, 3")
+def vote_slices(spark: SparkSession, d: str) -> DataFrame:
+    """Instances by coverage, unanimity and majority, with the first of each."""
+    return annotate.votes(_long(spark, d)).groupBy("is_multi", "unanimous", "majority").agg(F.count(F.lit(1)).alias("n"), F.min("instance_id").alias("first"))
+
+
+@query(_LONG + "select * from (select category, instance_id, margin, row_number() over (partition by category order by margin desc, instance_id) rn from voted join cats using (instance_id) where category is not null) where rn = 1".replace("select * from", "select category, instance_id, margin from"))
+def clearest_per_category(spark: SparkSession, d: str) -> DataFrame:
+    """The instance with the largest margin of each category."""
+    v = annotate.votes(_long(spark, d)).join(_categories(spark, d).filter("category is not null"), "instance_id")
+    best = v.groupBy("category").agg(F.min(F.struct((-F.col("margin")).alias("m"), "instance_id")).alias("b"))
+    return best.select("category", F.col("b.instance_id").alias("instance_id"), (-F.col("b.m")).alias("margin"))
