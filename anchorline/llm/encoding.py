@@ -1,8 +1,9 @@
 """Text that was decoded with the wrong character encoding, and what it was before.
 
 Every distinct word of the corpus that is attested often enough is put through all chains of wrong decodings; the documents' words are hash-joined
-against this table of garbled forms. A hit counts if the original is so much more frequent than the garbled form that the latter can't be a
-word of its own. Nothing is guessed from single characters, so rare but correct signs stay.
+against this table of garbled forms. A hit counts if the original is in so many more documents or distinct texts than the garbled form that the latter can't be a
+word of its own, or if several words of the document are forms with foreign signs by one chain, however frequent the forms are. Nothing is guessed from
+single characters, so rare but correct signs stay.
 
 Two kinds of words are compared: words between white space without ASCII punctuation at their ends, and runs of non-ASCII characters, which
 UTF-8 read in a one-byte encoding turns into runs again, so that a new word is found by its accented part.
@@ -15,7 +16,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from anchorline.session import broadcast_if_bounded, cut, pick
@@ -30,6 +31,8 @@ TWICE = ("cp1252", "latin-1", "cp1250", "cp1251", "cp437", "mac_roman")
 MIN_DOCS, MIN_RATIO, MIN_RATIO_OTHER = 2, 2, 6
 #: A form that looks like a word (letters of one script) counts only in documents with that many of them.
 MIN_WORDLIKE = 2
+#: Words of a document that one chain must explain where the forms are too frequent for these ratios: forms with signs that no word has, and forms like words.
+MIN_SHARED, MIN_SHARED_OTHER = 2, 3
 
 _SPLIT = re.compile(r"[^ \t\r\n]+")
 _RUN = re.compile(r"[^\x00-\x7f]+")
@@ -63,8 +66,8 @@ def _wordlike(form: str) -> bool:
     return all(latin) or not any(latin)
 
 
-def garbled_forms(word: str, frequent: bool) -> dict[str, tuple[str, int, bool]]:
-    """Garbled form -> (chain, times that the original must be as frequent, whether it is a sign by itself).
+def garbled_forms(word: str, frequent: bool) -> dict[str, tuple[str, int, bool, bool]]:
+    """Garbled form -> (chain, times that the original must be as frequent, whether it is a sign by itself, whether only the original looks like a word).
 
     The chains: UTF-8 read as another encoding once or twice, with bytes that have no meaning there kept, marked or lost; another encoding read as UTF-8;
     and, for frequent words, one encoding read as another and forms that lost control characters or no-break spaces afterwards.
@@ -86,9 +89,12 @@ def garbled_forms(word: str, frequent: bool) -> dict[str, tuple[str, int, bool]]
             own = word.encode(source)
         except UnicodeEncodeError:
             continue
-        out.setdefault(own.decode("utf-8", "replace"), (f"{source}>utf-8", len(word) > 2))
+        g = own.decode("utf-8", "replace")
+        if "�" in g:  # what UTF-8 can read without loss is the original, and word its garbled form
+            out.setdefault(g, (f"{source}>utf-8", len(word) > 2))
         if frequent:
-            out.setdefault(own.decode("utf-8", "ignore"), (f"{source}>utf-8", False))
+            if "�" in g:
+                out.setdefault(own.decode("utf-8", "ignore"), (f"{source}>utf-8", False))
             for e in ONE_BYTE:
                 if e != source:
                     for hole in ("kept", "marked", "lost"):
@@ -96,13 +102,13 @@ def garbled_forms(word: str, frequent: bool) -> dict[str, tuple[str, int, bool]]
     for e in MULTI_BYTE if frequent else ():
         for errors in ("replace", "ignore"):
             out.setdefault(data.decode(e, errors), (f"utf-8>{e}", False))
-    kept = {}
+    kept, letters = {}, _wordlike(word)
     for g, (chain, certain) in out.items():
         wordlike = _wordlike(g)
         certain = certain and not wordlike
         if len(g) >= (2 if certain else 3) and not g.isascii() and g != word and g.strip("�"):
             grown = chain.startswith("utf-8>") and len(word) > 2 and len(g) > len(word)
-            kept[g] = (chain, MIN_RATIO if certain else MIN_RATIO_OTHER, grown or not wordlike)
+            kept[g] = (chain, MIN_RATIO if certain else MIN_RATIO_OTHER, grown or not wordlike, letters and not wordlike)
     return kept
 
 
@@ -123,48 +129,73 @@ def words_of(text: str | None) -> list[str]:
 
 
 def document_words(docs: DataFrame) -> DataFrame:
-    """(doc_id, word), distinct for each row; rows without a text or without non-ASCII characters have none."""
+    """(doc_id, text_key, word), distinct for each row; rows without a text or without non-ASCII characters have none. Equal texts have the same text_key."""
 
     @F.pandas_udf("array<string>")
     def words(texts: pd.Series) -> pd.Series:
         return texts.map(words_of)
 
     marked = pick(docs, "doc_id", "text").filter(F.col("doc_id").isNotNull() & F.col("text").rlike(r"[^\x00-\x7f]|&[#A-Za-z]")).select("doc_id", "text")
-    return marked.select("doc_id", F.explode(words("text")).alias("word"))
+    return marked.select("doc_id", F.xxhash64("text").alias("text_key"), F.explode(words("text")).alias("word"))
 
 
 def vocabulary(words: DataFrame) -> DataFrame:
-    """(word, n_docs, n_folded): n_folded counts all spellings that differ in letter case only."""
-    counts = cut(words.groupBy("word").agg(F.count(F.lit(1)).alias("n_docs")))
-    folded = counts.groupBy(F.lower("word").alias("fold")).agg(F.sum("n_docs").alias("n_folded"))
-    return counts.withColumn("fold", F.lower("word")).join(folded, "fold").select("word", "n_docs", "n_folded")
+    """(word, n_docs, n_texts, n_folded, n_folded_texts): documents and distinct texts with the word, copies of a text counting once in the latter.
+
+    The folded counts are those of all spellings that differ in letter case only.
+    """
+    of_text = words.groupBy("word", "text_key").agg(F.count(F.lit(1)).alias("n"))
+    counts = cut(of_text.groupBy("word").agg(F.sum("n").alias("n_docs"), F.count(F.lit(1)).alias("n_texts")))
+    folded = counts.groupBy(F.lower("word").alias("fold")).agg(F.sum("n_docs").alias("n_folded"), F.sum("n_texts").alias("n_folded_texts"))
+    return counts.withColumn("fold", F.lower("word")).join(folded, "fold").drop("fold")
 
 
 def garble_table(vocab: DataFrame) -> DataFrame:
-    """(word, origin, chain, alone) of the words of vocab that are a garbled form of another word; vocab should be cut.
+    """(word, origin, chain, alone, shared) of the words of vocab that are or can be a garbled form of another word; vocab should be cut.
 
-    Of several originals the most frequent one is taken, then the least.
+    shared: how many words of a document its chain must explain for the form to count, 0 if its frequency tells already. A form that looks like a word
+    and is more than half as frequent as its original is left out, as the original could as well be the garbled one. Of several originals one that needs no
+    further words is taken first, then the most frequent one, then the least.
     """
 
     def forms(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = ["word", "origin", "n_origin", "chain", "ratio", "alone"]
+        columns = ["word", "origin", "n_origin", "n_origin_texts", "chain", "ratio", "alone", "strong"]
         for pdf in frames:
             rows = []
-            for word, n in zip(pdf["word"], pdf["n_docs"], strict=True):
-                rows += [(g, word, n, *how) for g, how in garbled_forms(word, n >= MIN_RATIO_OTHER).items()]
+            for word, n, m in zip(pdf["word"], pdf["n_docs"], pdf["n_texts"], strict=True):
+                rows += [(g, word, n, m, *how) for g, how in garbled_forms(word, n >= MIN_RATIO_OTHER).items()]
                 if len(rows) > 50_000:
                     yield pd.DataFrame(rows, columns=columns)
                     rows = []
             yield pd.DataFrame(rows, columns=columns)
 
-    attested = vocab.filter((F.col("n_docs") >= MIN_DOCS) & (F.length("word") <= 100)).select("word", "n_docs")
+    attested = vocab.filter((F.col("n_docs") >= MIN_DOCS) & (F.length("word") <= 100)).select("word", "n_docs", "n_texts")
     # words are handed out evenly: one word has a thousand forms
     spread = attested.repartition(attested.sparkSession.sparkContext.defaultParallelism * 4)
-    made = spread.mapInPandas(forms, "word string, origin string, n_origin bigint, chain string, ratio int, alone boolean")
+    made = spread.mapInPandas(forms, "word string, origin string, n_origin bigint, n_origin_texts bigint, chain string, ratio int, alone boolean, strong boolean")
     hits = made.join(broadcast_if_bounded(vocab), "word")
-    kept = hits.filter(F.col("n_origin") >= F.col("ratio") * F.col("n_folded"))
-    best = kept.groupBy("word").agg(F.min(F.struct((-F.col("n_origin")).alias("n"), "origin", "chain", "alone")).alias("best"))
-    return best.select("word", "best.origin", "best.chain", "best.alone")
+    rare = (F.col("n_origin") >= F.col("ratio") * F.col("n_folded")) | (F.col("n_origin_texts") >= F.col("ratio") * F.col("n_folded_texts"))
+    twice = (F.col("n_origin") >= MIN_RATIO * F.col("n_folded")) | (F.col("n_origin_texts") >= MIN_RATIO * F.col("n_folded_texts"))
+    sign = F.col("alone") & (F.col("ratio") == MIN_RATIO) & (F.col("chain").rlike("^utf-8>[^,]+$") | F.col("word").contains("�"))
+    one_byte = F.col("chain").rlike("^[^,>]+>[^,>]+$") & ~F.col("chain").rlike("utf-8")
+    shared = F.when(rare, 0).when(sign | (one_byte & F.col("strong")), MIN_SHARED).when(one_byte & twice & F.col("origin").rlike(r"^[\p{L}&&[^ªº]]+$"), MIN_SHARED_OTHER)
+    kept = hits.withColumn("shared", shared).filter("shared is not null")
+    best = kept.groupBy("word").agg(F.min(F.struct((F.col("shared") > 0).alias("more"), (-F.col("n_origin")).alias("n"), "origin", "chain", "alone", "shared")).alias("best"))
+    return best.select("word", "best.origin", "best.chain", "best.alone", "best.shared")
+
+
+def _by_shared_chain(hits: Column) -> Column:
+    """The hits that count by themselves or because enough words of the document have the same chain; a word and a run in it are no two."""
+    run = r"^[^\x00-\x7f]+$"
+
+    def explained(chain: Column) -> Column:
+        of = F.filter(hits, lambda h: h["chain"] == chain)
+        whole = F.filter(of, lambda h: ~h["word"].rlike(run))
+        return F.size(whole) + F.size(F.filter(of, lambda h: h["word"].rlike(run) & ~F.exists(whole, lambda w: w["word"].contains(h["word"]))))
+
+    chains = F.array_distinct(F.transform(hits, lambda h: h["chain"]))
+    counts = F.map_from_arrays(chains, F.transform(chains, explained))
+    return F.filter(hits, lambda h: (h["shared"] == 0) | (counts[h["chain"]] >= h["shared"]))
 
 
 def garbled_words(docs: DataFrame) -> DataFrame:
@@ -175,7 +206,8 @@ def garbled_words(docs: DataFrame) -> DataFrame:
     """
     words = document_words(docs)
     table = cut(garble_table(cut(vocabulary(words))))
-    found = words.join(broadcast_if_bounded(table), "word").groupBy("doc_id").agg(F.collect_set(F.struct("word", "origin", "chain", "alone")).alias("hits"))
+    found = words.join(broadcast_if_bounded(table), "word").groupBy("doc_id").agg(F.collect_set(F.struct("word", "origin", "chain", "alone", "shared")).alias("hits"))
+    found = found.select("doc_id", _by_shared_chain(F.col("hits")).alias("hits"))
     return found.filter(F.exists("hits", lambda h: h["alone"]) | (F.size("hits") >= MIN_WORDLIKE))
 
 

@@ -69,3 +69,20 @@ def test_empty_and_clashing(spark):
     assert encoding.restored_documents(spark.createDataFrame([], DOCS)).count() == 0
     wide = spark.createDataFrame([(1, "é"), (1, "é")], DOCS).selectExpr("*", "'q' as TEXT", "'z' as word")
     assert encoding.garbled_documents(wide).count() == 0
+
+
+def test_copies_of_a_garbled_text_count_once(spark):
+    """A third of all rows is one garbled text: its words are in more rows than half of their originals'."""
+    clean = [(i, f"{PART} number {i}") for i in range(20)]
+    copies = [(1000 + i, f"Copied. {GARBLED['utf-8 as cp1252']} {GARBLED['koi8 as cp1251']} end") for i in range(15)]
+    words = [(500 + i, f"{CLEAN[1]} number {i}") for i in range(20)]
+    docs = spark.createDataFrame(clean + words + copies, DOCS)
+    assert {r.doc_id for r in encoding.garbled_documents(docs).collect()} == {i for i, _ in copies}
+
+
+def test_forms_more_frequent_than_their_originals(spark):
+    """More distinct texts are garbled in one way than there are correct ones."""
+    clean = [(i, f"{t} number {i}") for i in range(10) for t in CLEAN[:1]] + [(100 + i, f"{CLEAN[3]} number {i}") for i in range(10)]
+    bad = [(1000 + i, f"{GARBLED[k]} number {i}") for k, at in (("utf-8 as cp1252", 0), ("polish as cp1252", 30)) for i in range(at, at + 30)]
+    docs = spark.createDataFrame(clean + bad, DOCS)
+    assert {r.doc_id for r in encoding.garbled_documents(docs).collect()} == {i for i, _ in bad}
