@@ -52,6 +52,7 @@ def _table(encoding: str, hole: str) -> dict[int, str | None]:
 
 
 _TABLES = {(e, h): _table(e, h) for e in ONE_BYTE for h in ("kept", "marked", "lost")}
+_BACK = {e: {v: chr(b) for b, v in _TABLES[e, "kept"].items() if v} for e in ONE_BYTE}
 
 
 def _read(data: bytes, encoding: str, hole: str) -> str:
@@ -205,7 +206,11 @@ def garbled_words(docs: DataFrame) -> DataFrame:
     faster than they would be written.
     """
     words = document_words(docs)
-    table = cut(garble_table(cut(vocabulary(words))))
+    return _hits(words, cut(vocabulary(words)))
+
+
+def _hits(words: DataFrame, vocab: DataFrame) -> DataFrame:
+    table = cut(garble_table(vocab))
     found = words.join(broadcast_if_bounded(table), "word").groupBy("doc_id").agg(F.collect_set(F.struct("word", "origin", "chain", "alone", "shared")).alias("hits"))
     found = found.select("doc_id", _by_shared_chain(F.col("hits")).alias("hits"))
     return found.filter(F.exists("hits", lambda h: h["alone"]) | (F.size("hits") >= MIN_WORDLIKE))
@@ -216,35 +221,99 @@ def garbled_documents(docs: DataFrame) -> DataFrame:
     return garbled_words(docs).select("doc_id")
 
 
-def restore(text: str, hits: list[tuple[str, str, str]]) -> tuple[str, int, int]:
+def reversal(form: str, chain: str) -> str | None:
+    """What form was before it went through chain, None if that can't be told without loss."""
+    own, *read = chain.split(">")
+    try:
+        for e in reversed(read):
+            back = _BACK.get(e)
+            data = form.encode(e) if back is None else "".join([back[c] for c in form]).encode("latin-1")
+            form = data.decode(own)
+    except (UnicodeError, KeyError, LookupError):
+        return None
+    return form
+
+
+def _chains(hits: list[tuple[str, str, str]]) -> tuple[list[str], list[str]]:
+    """The reversible chains of a document's hits, those with most steps and hits first: from UTF-8, where valid bytes prove themselves, and others."""
+    n: dict[str, int] = {}
+    for _, _, c in hits:
+        if "," not in c and not c.endswith(">utf-8"):
+            n[c] = n.get(c, 0) + 1
+    order = sorted(n, key=lambda c: (-c.count(">"), -n[c], c))
+    return [c for c in order if c.startswith("utf-8>")], [c for c in order if not c.startswith("utf-8>")]
+
+
+def reversible_words(text: str, hits: list[tuple[str, str, str]]) -> dict[str, str]:
+    """Word -> what it was, of the words outside of hits that a chain other than from UTF-8 changes without loss."""
+    origin, others, out = {w for w, _, _ in hits}, _chains(hits)[1], {}
+    for w in _SPLIT.findall(unescaped(text)) if others else ():
+        core = w.strip(_ENDS)
+        if not w.isascii() and core not in origin and core not in out:
+            was = next((r for c in others if (r := reversal(core, c)) not in (None, core)), None)
+            if was is not None:
+                out[core] = was
+    return out
+
+
+def restore(text: str, hits: list[tuple[str, str, str]], known: dict[str, tuple[str, int, int]] | None = None) -> tuple[str, int, int]:
     """The text with garbled words replaced, the number of replacements, and of stretches that stayed garbled.
 
-    Words that aren't among hits are read back by the document's own chains of UTF-8 and one other encoding where that is possible without loss.
+    Words that aren't among hits are read back by the document's own chains where that is possible without loss. Valid UTF-8 proves itself; for other chains
+    known has for each such word what it was and the documents with either. The word is read back if its earlier form is more frequent or alone looks like
+    a word, kept if only it is attested, and else read back where the nearest decided words on both sides are garbled. Undecided ones count as left.
     """
-    t, done = unescaped(text), 0
+    t, done, open_left = unescaped(text), 0, 0
+    known = known or {}
     origin = {w: o for w, o, _ in hits}
     runs = {w: o for w, o in origin.items() if _RUN.fullmatch(w)}
     whole = sorted((w for w in origin if w not in runs or len(w) > 1), key=len, reverse=True)
-    chains = list(dict.fromkeys(m[1] for _, _, c in hits if (m := re.fullmatch(r"utf-8>([\w-]+)", c)) and m[1] in ONE_BYTE))
-    back = {e: {ord(v): chr(b) for b, v in _TABLES[e, "kept"].items() if v} for e in chains}
+    utf8, others = _chains(hits)
 
     def by_chain(run: str) -> str | None:
-        for e in chains:
-            try:
-                return run.translate(back[e]).encode("latin-1").decode("utf-8")
-            except UnicodeError:
-                continue
-        return None
+        return next((r for c in utf8 if (r := reversal(run, c)) is not None), None)
+
+    def state(w: str) -> bool | None:
+        """Whether the word is garbled, None if that is open."""
+        core = w.strip(_ENDS)
+        if w.isascii():
+            return None
+        if core in origin:
+            return True
+        if core not in known:
+            return None if any(reversal(core, c) == core for c in others) else any(r in runs or by_chain(r) is not None for r in _RUN.findall(w))
+        was, n_was, n = known[core]
+        if (n_was > n and n_was >= MIN_DOCS) or (_wordlike(was) and not _wordlike(core) and (n < MIN_DOCS or n <= n_was)):
+            return True
+        return False if n >= MIN_DOCS > n_was else None
+
+    words = _SPLIT.findall(t) if known else []
+    judged = dict(zip(words, map(state, words), strict=True)) if known else {}
+    before, after, last = [], [], None
+    for w in words:
+        before.append(last)
+        last = last if judged[w] is None else judged[w]
+    last = None
+    for w in reversed(words):
+        after.append(last)
+        last = last if judged[w] is None else judged[w]
+    around = iter(zip(before, reversed(after), strict=True))
 
     def one(m: re.Match) -> str:
-        nonlocal done
+        nonlocal done, open_left
         w = m[0]
+        sides = next(around) if known else ()
         if w.isascii():
             return w
         core = w.strip(_ENDS)
         if core in origin:
             done += 1
             return w.replace(core, origin[core], 1)
+        if core in known and judged[w] is not False:
+            if judged[w] or (True in sides and False not in sides):
+                done += 1
+                return w.replace(core, known[core][0], 1)
+            open_left += 1
 
         def run(r: re.Match) -> str:
             nonlocal done
@@ -256,17 +325,37 @@ def restore(text: str, hits: list[tuple[str, str, str]]) -> tuple[str, int, int]
 
     t = _SPLIT.sub(one, t)
     still = set(_SPLIT.findall(t))
-    left = t.count("�") + sum(w in still for w in whole)
+    left = t.count("�") + sum(w in still for w in whole) + open_left
     return t, done, left
 
 
 def restored_documents(docs: DataFrame) -> DataFrame:
     """(doc_id, text, n_restored, n_left): the garbled documents with their originals put back where they can be known."""
-    rows = pick(docs, "doc_id", "text").join(garbled_words(docs), "doc_id")
+    words = document_words(docs)
+    vocab = cut(vocabulary(words))
+    rows = pick(docs, "doc_id", "text").join(cut(_hits(words, vocab)), "doc_id")
+
+    def plain(hits: list) -> list[tuple[str, str, str]]:
+        return [(h["word"], h["origin"], h["chain"]) for h in sorted(hits, key=lambda h: h["word"])]
+
+    def candidates(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            out = [(i, w, was) for i, t, hs in zip(pdf["doc_id"], pdf["text"], pdf["hits"], strict=True) for w, was in reversible_words(t, plain(hs)).items()]
+            yield pd.DataFrame(out, columns=["doc_id", "word", "was"])
+
+    # few documents have hits, and fewer by a chain that isn't from UTF-8
+    asked = cut(rows.mapInPandas(candidates, "doc_id bigint, word string, was string"))
+    counts = cut(vocab.join(broadcast_if_bounded(asked.select("word").union(asked.select("was")).distinct()), "word", "semi").select("word", "n_docs", "n_folded"))
+    by_was = broadcast_if_bounded(counts.select(F.col("word").alias("was"), F.col("n_docs").alias("n_was")))
+    both = asked.join(broadcast_if_bounded(counts.select("word", "n_folded")), "word", "left").join(by_was, "was", "left")
+    pair = F.struct("word", "was", F.coalesce("n_was", F.lit(0)).alias("n_was"), F.coalesce("n_folded", F.lit(0)).alias("n"))
+    known = cut(both.groupBy("doc_id").agg(F.collect_set(pair).alias("known")))
+    rows = rows.join(broadcast_if_bounded(known), "doc_id", "left").select("doc_id", "text", "hits", F.coalesce("known", F.array().cast(known.schema["known"].dataType)).alias("known"))
 
     def fix(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            out = [restore(t, [(h["word"], h["origin"], h["chain"]) for h in sorted(hs, key=lambda h: h["word"])]) for t, hs in zip(pdf["text"], pdf["hits"], strict=True)]
+            given = zip(pdf["text"], pdf["hits"], pdf["known"], strict=True)
+            out = [restore(t, plain(hs), {k["word"]: (k["was"], k["n_was"], k["n"]) for k in ks}) for t, hs, ks in given]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "text": [x[0] for x in out], "n_restored": [x[1] for x in out], "n_left": [x[2] for x in out]})
 
     return rows.mapInPandas(fix, "doc_id bigint, text string, n_restored bigint, n_left bigint")

@@ -86,3 +86,20 @@ def test_forms_more_frequent_than_their_originals(spark):
     bad = [(1000 + i, f"{GARBLED[k]} number {i}") for k, at in (("utf-8 as cp1252", 0), ("polish as cp1252", 30)) for i in range(at, at + 30)]
     docs = spark.createDataFrame(clean + bad, DOCS)
     assert {r.doc_id for r in encoding.garbled_documents(docs).collect()} == {i for i, _ in bad}
+
+
+def test_reversal():
+    for chain, steps in {"cp1251>koi8-r": [("cp1251", "koi8-r")], "cp866>cp1251": [("cp866", "cp1251")], "utf-8>cp1252>cp1252": [("utf-8", "cp1252")] * 2, "utf-8>mac_roman": [("utf-8", "mac_roman")]}.items():
+        assert encoding.reversal(wrong(CLEAN[1], *steps), chain) == CLEAN[1]
+    assert encoding.reversal("щавель", "cp1250>cp1252") is None and encoding.reversal("plain é", "utf-8>cp1252") is None
+
+
+def test_short_and_new_words_of_the_own_chain_are_restored(spark):
+    """Words under three characters and words in no other document, in a text garbled by one one-byte encoding read as another."""
+    text = "зелёный щавель ёжик вьюга мы ещё неведомка щавель"
+    clean = [(i, f"{CLEAN[1]} мы number {i}") for i in range(20)]
+    half = "мы вьюга. " + wrong("зелёный щавель мы ёжик", ("cp1251", "koi8-r")) + " мы вьюга ЩУКИН"
+    docs = spark.createDataFrame([*clean, (100, wrong(text, ("cp1251", "koi8-r"))), (101, wrong(text, ("cp866", "cp1251"))), (102, half)], DOCS)
+    got = {r.doc_id: r for r in encoding.restored_documents(docs).collect()}
+    assert got[100].text == text and got[101].text == text and got[100].n_left == got[101].n_left == 0
+    assert got[102].text == "мы вьюга. зелёный щавель мы ёжик мы вьюга ЩУКИН" and got[102].n_left == 1
