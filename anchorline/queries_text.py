@@ -29,6 +29,15 @@ def clean_mention(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("mention", S.clean_mention(F.col("mention")).alias("cleaned"))
 
 
+_SPACE = r"[\s\p{Z}\x0B\x{85}\x1C-\x1F]"
+
+
+@query(rf"""select distinct mention, regexp_replace(regexp_replace(mention, '{_SPACE}*\([^)]*\){_SPACE}*$', ''), '^{_SPACE}+|{_SPACE}+$', '', 'g') cleaned from instances""")
+def clean_mention_all(spark: SparkSession, d: str) -> DataFrame:
+    """Every mention, those with no-break spaces too, which clean_mention and its SQL leave out."""
+    return read_table(spark, d, "instances").select("mention").distinct().select("mention", S.clean_mention(F.col("mention")).alias("cleaned"))
+
+
 @query(f"select distinct filename, {image_name_sql('filename')} image_name, {image_name_sql('url')} url_name from image_data")
 def normalise_image_name(spark: SparkSession, d: str) -> DataFrame:
     return read_table(spark, d, "image_data").select("filename", S.image_name(F.col("filename")).alias("image_name"), S.image_name(F.col("url")).alias("url_name")).distinct()
