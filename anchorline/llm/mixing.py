@@ -73,14 +73,22 @@ def prefix_sums(tokens: DataFrame, seed: int = 8) -> DataFrame:
     return local.join(broadcast_if_bounded(before), ["source", "pid"]).select("doc_id", "source", "n_tokens", (F.col("upto") + F.col("before")).alias("upto"))
 
 
-def plan_mix(tokens: DataFrame, targets: DataFrame) -> DataFrame:
+def source_totals(places: DataFrame) -> DataFrame:
+    """(source, source_tokens): the largest running sum of each source is its size."""
+    return places.groupBy("source").agg(F.max("upto").alias("source_tokens"))
+
+
+def plan_mix(tokens: DataFrame, targets: DataFrame, totals: DataFrame | None = None) -> DataFrame:
     """Per row of targets: the budget, the whole passes over the source and the tokens left for the last pass; tokens should be cut.
 
+    totals: source_totals where the places are known, else the tokens are added up.
+
     short: the source's tokens times max_repeats are fewer than its budget. A source without documents has 0 tokens. A null share or fraction
     asks for nothing, a null max_repeats allows one pass.
     """
-    sums = tokens.groupBy("source").agg(F.sum("n_tokens").alias("source_tokens")).withColumnRenamed("source", "__source")
-    all_tokens = tokens.agg(F.sum("n_tokens")).first()[0] or 0
+    sums = tokens.groupBy("source").agg(F.sum("n_tokens").alias("source_tokens")) if totals is None else totals
+    all_tokens = sums.agg(F.sum("source_tokens")).first()[0] or 0
+    sums = sums.withColumnRenamed("source", "__source")
     want = pick(targets, "mix_id", "source", "target_share", "max_repeats", "budget_frac").distinct().withColumn("all_tokens", F.lit(all_tokens).cast("long"))
     joined = want.join(broadcast_if_bounded(sums), clean_source(F.col("source")) == F.col("__source"), "left").drop("__source")
     budget = F.coalesce(F.col("target_share") * F.col("budget_frac") * F.col("all_tokens"), F.lit(0.0))

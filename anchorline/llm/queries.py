@@ -145,8 +145,10 @@ def p6_splits(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _mix(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    tokens = cut(mixing.token_counts(read_table(spark, d, "documents")))
-    return tokens, cut(mixing.plan_mix(tokens, read_table(spark, d, "source_targets")))
+    """(places, plan), the sources' sizes being taken from the places."""
+    tokens = mixing.token_counts(read_table(spark, d, "documents"))
+    places = cut(mixing.prefix_sums(cut(tokens)))
+    return places, cut(mixing.plan_mix(places, read_table(spark, d, "source_targets"), cut(mixing.source_totals(places))))
 
 
 _MIX = f"""
@@ -158,22 +160,21 @@ r as (select distinct mix_id, s.source, target_share * budget_frac * (select sum
 
 @query(_MIX + "select mix_id, source from r where have < budget")
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    """Sources that can't fill their share of a mix. The SQL counts characters: any size measure gives the same rows."""
+    """Sources that can't fill their share of a mix, by the prefix sums that the corpus is cut by. The SQL counts characters: any size measure gives the same rows."""
     return _mix(spark, d)[1].filter("short").select("mix_id", "source")
 
 
 @query()
 def p8_report(spark: SparkSession, d: str) -> DataFrame:
     """Tokens and shares that each source reached in each mix."""
-    tokens, plan = _mix(spark, d)
-    return mixing.mix_report(cut(mixing.compose(mixing.prefix_sums(tokens), plan)), plan)
+    places, plan = _mix(spark, d)
+    return mixing.mix_report(cut(mixing.compose(places, plan)), plan)
 
 
 @query()
 def p8_corpus(spark: SparkSession, d: str) -> DataFrame:
     """The documents of each mix and how often they are repeated."""
-    tokens, plan = _mix(spark, d)
-    return mixing.compose(mixing.prefix_sums(tokens), plan)
+    return mixing.compose(*_mix(spark, d))
 
 
 @query()

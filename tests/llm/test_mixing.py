@@ -63,3 +63,20 @@ def test_edges(spark):
 
 def test_long_text(spark):
     assert mixing.token_counts(spark.createDataFrame([(1, "a b " * 200_000, "s")], DOCS)).first().n_tokens >= 200_000
+
+
+def test_totals_of_the_places(spark):
+    tokens = mixing.token_counts(data(spark))
+    targets = spark.createDataFrame([(1, "BIG", 0.6, 1, 0.5), (1, "mid", 0.3, 4, 0.5), (1, "small", 0.09, 2, 0.5), (1, "absent", 0.01, 9, 0.5)], TARGETS)
+    plan = mixing.plan_mix(tokens, targets, mixing.source_totals(mixing.prefix_sums(tokens)))
+    assert sorted(plan.collect()) == sorted(mixing.plan_mix(tokens, targets).collect())
+    assert mixing.source_totals(mixing.prefix_sums(tokens.limit(0))).count() == 0
+
+
+def test_p8_found_takes_the_prefix_sums(spark, monkeypatch):
+    from anchorline.llm.queries import QUERIES
+    from tests.test_queries import DATA
+
+    calls, whole = [], mixing.prefix_sums
+    monkeypatch.setattr(mixing, "prefix_sums", lambda *a: calls.append(a) or whole(*a))
+    assert QUERIES["p8_found"](spark, DATA).count() and len(calls) == 1
