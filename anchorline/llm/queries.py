@@ -84,6 +84,16 @@ def p2_pairs(spark: SparkSession, d: str) -> DataFrame:
     return pairs.frequent_pairs(read_table(spark, d, "image_data"), read_table(spark, d, "instances"))
 
 
+_COUNTED = """select field, qid_a, qid_b, n_records, n_a, n_b, n_together, n_together * n_records / (n_a * n_b) lift,
+(n_together + 0.5) * (n_records - n_a - n_b + n_together + 0.5) / ((n_a - n_together + 0.5) * (n_b - n_together + 0.5)) odds_ratio from p"""
+
+
+@query(_PAIRS.replace("  where n_together >= 6 and n_together * r.n >= 3 * x.n * y.n)", ")") + _COUNTED)
+def p2_all_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Every pair that occurs together at all, rare ones and those of hot items included."""
+    return pairs.frequent_pairs(read_table(spark, d, "image_data"), read_table(spark, d, "instances"), min_records=1, min_lift=0.0)
+
+
 _LABELS = rf"""
 with e as (select coalesce(nullif(user_id, ''), folder) user_id, exported_at, unnest(map_entries(instance_id_to_label_to_value)) e from user_state),
 l0 as (select user_id, try_cast(trim(e.key) as bigint) instance_id, coalesce(exported_at, timestamp '0001-01-01') ts, nullif(upper({_TRIM.format("e.value[1][1].name")}), '') label from e),

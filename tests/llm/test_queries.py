@@ -18,3 +18,8 @@ def test_against_sql(spark, db, name):  # noqa: F811
     assert sorted(rel.columns) == cols
     at = [rel.columns.index(c) for c in cols]
     assert rows == sorted(tuple(plain(r[i]) for i in at) for r in rel.fetchall())
+
+
+def test_all_pairs_hold_rare_and_hot_items(spark):
+    every, frequent = (QUERIES[n](spark, DATA).select("field", "qid_a", "qid_b", "n_together", "lift").collect() for n in ("p2_all_pairs", "p2_pairs"))
+    assert set(frequent) < set(every) and min(r.n_together for r in every) == 1 and min(r.lift for r in every) < 3
