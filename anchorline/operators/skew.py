@@ -15,7 +15,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from anchorline.session import parallelism
+from anchorline.session import bounded, parallelism
 
 TASK = "__task"
 #: Bins for light keys a task, so that the packing has small pieces to even out.
@@ -73,25 +73,31 @@ class LoadPlan:
         return out.withColumn(TASK, F.explode(own)).drop("__tasks")
 
 
-def plan_load(df: DataFrame, key: str, tasks: int | None = None) -> LoadPlan:
+def plan_load(df: DataFrame, key: str, tasks: int | None = None, total: int | None = None) -> LoadPlan:
     """Count rows a key (combined on the map side), split keys above the target load, pack shards and bins onto tasks.
 
-    Null keys have no load: their rows are spread evenly anyway. An empty df is fine.
+    total: the rows of df with a key where that is known, which saves a job. Null keys have no load: their rows are spread evenly anyway. An
+    empty df is fine.
     """
     tasks = tasks or parallelism(df.sparkSession)
     n_bins = tasks * BINS_PER_TASK
     plan = LoadPlan(tasks, [b % tasks for b in range(n_bins)])
-    loads = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("__n")).withColumn("__bin", plan.light_bin(F.col(key)))
-    loads = loads.persist()
+    loads = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
+    known = total is not None
+    loads = loads if known else loads.persist()
     try:
-        total = loads.agg(F.sum("__n")).first()[0] or 0
+        total = total if known else loads.agg(F.sum("__n")).first()[0] or 0
         target = max(1.0, total / n_bins)
-        heavy = {r[key]: r["__n"] for r in loads.filter(F.col("__n") > target).select(key, "__n").toLocalIterator()}
-        light = {r["__bin"]: r["__s"] for r in loads.filter(F.col("__n") <= target).groupBy("__bin").agg(F.sum("__n").alias("__s")).collect()}
+        big = F.col("__n") > target
+        # one row a bin; at most total / target keys are above the target, so the lists hold no more than n_bins keys together
+        by_bin = loads.groupBy(plan.light_bin(F.col(key)).alias("__bin")).agg(F.sum(F.when(~big, F.col("__n"))).alias("light"), F.collect_list(F.when(big, F.struct(F.col(key).alias("k"), F.col("__n").alias("n")))).alias("heavy"))
+        rows = by_bin.collect()
     finally:
-        loads.unpersist()
+        if not known:
+            loads.unpersist()
+    light = {r["__bin"]: r["light"] or 0 for r in rows}
     pieces: dict = {("bin", b): float(light.get(b, 0)) for b in range(n_bins)}
-    for k, n in heavy.items():
+    for k, n in (h for r in rows for h in r["heavy"]):
         shards = min(tasks, max(2, -(-n // int(max(1, target)))))
         pieces |= {("key", k, i): n / shards for i in range(shards)}
     at = pack(pieces, tasks)
@@ -102,19 +108,33 @@ def plan_load(df: DataFrame, key: str, tasks: int | None = None) -> LoadPlan:
     return plan
 
 
+def plan_pairs(rows: DataFrame, key: str, value: str, one_in: int = 16) -> LoadPlan:
+    """The plan for the distinct (key, value) pairs of rows, which are what is routed, however often a pair is repeated.
+
+    Loads are estimated from the pairs whose hash falls into one of one_in classes, so that planning moves a small part of the pairs. The
+    estimate decides where rows go, never what is counted.
+    """
+    some = rows.filter(F.pmod(F.xxhash64(key, value, F.lit(3)), F.lit(one_in)) == 0).select(key, value).distinct()
+    return plan_load(some, key)
+
+
 def balanced_distinct_counts(df: DataFrame, key: str, value: str, maxima: list[str], plan: LoadPlan | None = None) -> DataFrame:
     """Per key: rows, distinct non-null values and the largest non-null of each of maxima; null keys are left out.
 
-    The rows of a split key are divided by value, so shards hold disjoint values and their distinct counts add up. Other columns of df
-    are not read. An empty df gives no rows.
+    The distinct pairs of a split key are divided by value, so shards hold disjoint values and their counts add up. Rows and maxima
+    are combined on the map side to one row a key: that is the matching side, which is replicated to the shards of its key only. Other columns of
+    df are not read. An empty df gives no rows.
     """
     rows = df.filter(F.col(key).isNotNull()).select(key, value, *maxima)
-    plan = plan or plan_load(rows, key)
+    plan = plan or plan_pairs(rows, key, value)
     # copies of one (key, value) are combined on the map side, so that they are a single row before anything is routed
-    pairs = rows.groupBy(key, value).agg(F.count(F.lit(1)).alias("__n"), *[F.max(m).alias(m) for m in maxima])
+    pairs = rows.select(key, value).distinct()
     sent = plan.route(pairs, key, F.col(value)).repartitionById(plan.tasks, F.col(TASK))
-    part = sent.groupBy(TASK, key).agg(F.sum("__n").alias("__n"), F.count(value).alias("__d"), *[F.max(m).alias(m) for m in maxima])
-    return part.groupBy(key).agg(F.sum("__n").alias("n_rows"), F.sum("__d").alias("n_distinct"), *[F.max(m).alias(f"max_{m}") for m in maxima])
+    part = sent.groupBy(TASK, key).agg(F.count(value).alias("__d"))
+    facts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("__n"), *[F.max(m).alias(m) for m in maxima])
+    known = plan.replicate(facts, key).repartitionById(plan.tasks, F.col(TASK))
+    both = part.join(known, [TASK, key])
+    return both.groupBy(key).agg(F.max("__n").alias("n_rows"), F.sum("__d").alias("n_distinct"), *[F.max(m).alias(f"max_{m}") for m in maxima])
 
 
 def skew_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", plan: LoadPlan | None = None) -> DataFrame:
@@ -122,9 +142,17 @@ def skew_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", p
 
     how is inner or left. The columns of right besides the key must not clash with those of left. Null keys never match; with
     how="left" they are kept. Either side may be empty. A split key's rows are divided by a hash of the whole row, so that a task that is run
-    again sends every row where it went before; equal rows stay together and should be combined beforehand if there are many.
+    again sends every row where it went before; equal rows stay together and should be combined beforehand if there are many. If no key is
+    above a task's share an inner join is left to the engine.
     """
     plan = plan or plan_load(left, key)
+    if how == "inner" and not plan.heavy:
+        return left.join(right, key)
     a = plan.route(left, key, F.xxhash64(*left.columns)).repartitionById(plan.tasks, F.col(TASK))
     b = plan.replicate(right.filter(F.col(key).isNotNull()), key).repartitionById(plan.tasks, F.col(TASK))
     return a.join(b, [TASK, key], how).drop(TASK)
+
+
+def safe_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """left joined with right by a broadcast if right was measured and is small, else by skew_join. right should be cut or cheap."""
+    return left.join(F.broadcast(right), key, how) if bounded(right) else skew_join(left, right, key, how)

@@ -2,7 +2,7 @@ from collections import defaultdict
 
 from pyspark.sql import functions as F
 
-from anchorline.operators.skew import TASK, balanced_distinct_counts, pack, plan_load, skew_join
+from anchorline.operators.skew import TASK, balanced_distinct_counts, pack, plan_load, plan_pairs, safe_join, skew_join
 from anchorline.operators.usage import usage_by_url
 
 SCHEMA = "url string, qid string, n_used_by int"
@@ -78,3 +78,25 @@ def test_null_keys_are_spread(spark):
     loads = [r["count"] for r in plan.route(df, "k", F.col("i")).groupBy(TASK).count().collect()]
     assert len(loads) == 8 and max(loads) < 1000
     assert skew_join(df, spark.createDataFrame([("a", 5)], "k string, x int"), "k", "left").count() == 4001
+
+
+def test_plan_follows_the_pairs_that_are_routed(spark):
+    """A key with very many rows of few values has little to route; one with many values is split."""
+    rows = [("copies", f"Q{i % 30}", 1) for i in range(7000)] + [("wide", f"Q{i}", 1) for i in range(3000)] + [(f"u{i}", "Q1", 1) for i in range(3000)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    plan = plan_pairs(df, "url", "qid")
+    assert "wide" in plan.heavy and "copies" not in plan.heavy
+    got = balanced_distinct_counts(df, "url", "qid", ["n_used_by"], plan)
+    assert {r.url: (r.n_rows, r.n_distinct, r.max_n_used_by) for r in got.collect()} == brute(rows)
+
+
+def test_given_total_gives_the_same_plan(spark):
+    df = spark.createDataFrame(hot_rows(), SCHEMA).filter("url is not null")
+    a, b = plan_load(df, "url", 8), plan_load(df, "url", 8, total=df.count())
+    assert a.heavy.keys() == b.heavy.keys() and a.bins == b.bins
+
+
+def test_safe_join_equals_plain_join(spark):
+    left = spark.createDataFrame(hot_rows(), SCHEMA).select("url", "qid")
+    right = spark.createDataFrame([("hot", 1), ("u1", 2)], "url string, x int")
+    assert safe_join(left, right, "url").count() == left.join(right, "url").count()
