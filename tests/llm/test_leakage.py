@@ -1,5 +1,7 @@
 import random
+import tracemalloc
 
+import numpy as np
 import pytest
 
 from anchorline.llm import leakage
@@ -84,3 +86,74 @@ def test_empty_and_clashing(spark):
     assert leakage.leaks(docs.limit(0), items).count() == 0 and leakage.leaks(docs, items.limit(0)).count() == 0
     wide = docs.selectExpr("*", "'x' as TEXT", "1 as item_id", "'y' as words")
     assert leakage.leaks(wide.union(wide), items).count() == 1
+
+
+def test_scattered_words_before_a_copy_hide_nothing():
+    item = list("abcdefghijkl")
+    copy = list("abcdef")
+    assert leakage.align_share(item, copy) == pytest.approx(0.5)
+    triples = list("ghi") + ["x"] + list("jkl") + ["x"] + list("abc") + ["y"] + list("def")
+    assert leakage.align_share(item, [*triples, *["z"] * 3, *copy]) >= 0.5
+    for k in range(6):
+        assert leakage.align_share(item, [*triples, *["z"] * k, *copy, *["z"] * k, *triples]) >= 0.5
+
+
+def held_by_brute_force(item, doc):
+    """Best score over all alignments with N matches in a row, cell by cell with the length of the run as part of the state."""
+    n, none = leakage.N, -(10**6)
+    rows = [[[none] * (n + 1) for _ in range(len(doc) + 1)] for _ in range(len(item) + 1)]
+    best = none
+    for i in range(len(item) + 1):
+        for j in range(len(doc) + 1):
+            cell = rows[i][j]
+            cell[0] = max(cell[0], 0)
+            if i and j:
+                before = rows[i - 1][j - 1]
+                if item[i - 1] == doc[j - 1]:
+                    for r in range(n):
+                        cell[r + 1] = max(cell[r + 1], before[r] + 1)
+                    cell[n] = max(cell[n], before[n] + 1)
+                else:
+                    cell[0] = max(cell[0], max(before[:n]) - 1)
+                    cell[n] = max(cell[n], before[n] - 1)
+            for prev in ([rows[i - 1][j]] if i else []) + ([rows[i][j - 1]] if j else []):
+                cell[0] = max(cell[0], max(prev[:n]) - 1)
+                cell[n] = max(cell[n], prev[n] - 1)
+            best = max(best, cell[n])
+    return best if best >= n else 0
+
+
+def test_alignment_against_brute_force():
+    rnd = random.Random(11)
+    for _ in range(300):
+        a, b = ([rnd.choice("abcdef") for _ in range(rnd.randrange(4, 14))] for _ in range(2))
+        if rnd.random() < 0.5:
+            b[2:2] = a[1:7]
+        codes = {w: i for i, w in enumerate("abcdef")}
+        x, y = (np.array([codes[w] for w in v], np.int32) for v in (a, b))
+        score, path = leakage._aligned(x, np.ones(x.size, bool), y)
+        assert score == held_by_brute_force(a, b)
+        assert len(path) == len(set(path)) and len(path) >= score
+
+
+def test_long_document_takes_little_memory():
+    """300,000 words with two copies far apart; also an item longer than what is aligned at once."""
+    rnd = random.Random(3)
+    item = [f"i{k}" for k in range(100)]
+    doc = [f"d{rnd.randrange(5000)}" for _ in range(300_000)]
+    doc[1000:1000], doc[250_000:250_000] = item[:40], item[40:80]
+    tracemalloc.start()
+    assert leakage.align_share(item, doc) == pytest.approx(0.8)
+    assert tracemalloc.get_traced_memory()[1] < 200e6
+    tracemalloc.stop()
+    long = [f"l{k}" for k in range(3000)]
+    assert leakage.align_share(long, ["x", *long[500:2500], "y"]) == pytest.approx(2 / 3, abs=0.01)
+
+
+def test_many_items_go_by_pairs(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, t) for k, (t, _) in CASES.items()], DOCS)
+    items = spark.createDataFrame([(7, " ".join(ITEM)), (8, NOISE(60))], ITEMS)
+    few = {(r.doc_id, r.item_id, round(r.share, 9)) for r in leakage.leaks(docs, items).collect()}
+    monkeypatch.setattr(leakage, "SENT_ITEMS", 0)
+    monkeypatch.setattr(leakage, "bounded", lambda df: False)
+    assert {(r.doc_id, r.item_id, round(r.share, 9)) for r in leakage.leaks(docs, items).collect()} == few
