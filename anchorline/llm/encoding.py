@@ -1,7 +1,7 @@
 """Text that was decoded with the wrong character encoding, and what it was before.
 
-Every distinct word of the corpus that is attested often enough is put through all chains of wrong decodings; the documents' words are hash-joined
-against this table of garbled forms. A hit counts if the original is in so many more documents or distinct texts than the garbled form that the latter can't be a
+Every distinct word of the corpus is put through all chains of wrong decodings; the documents' words are hash-joined
+against this table of garbled forms. Which hits count is decided afterwards, by evidence: if the original is in so many documents or distinct texts beside the garbled form that the latter can't be a
 word of its own, or if several words of the document are forms with foreign signs by one chain, however frequent the forms are. Nothing is guessed from
 single characters, so rare but correct signs stay.
 
@@ -11,14 +11,19 @@ UTF-8 read in a one-byte encoding turns into runs again, so that a new word is f
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from anchorline.operators.bloom import as_bytes, bits_of
+from anchorline.operators.skew import safe_join
 from anchorline.session import broadcast_if_bounded, cut, pick
 
 #: One-byte encodings and multi-byte ones that texts are mistaken for, fixed.
@@ -26,13 +31,19 @@ ONE_BYTE = ("cp1252", "latin-1", "cp1250", "cp1251", "cp1253", "cp1254", "cp1257
 MULTI_BYTE = ("cp932", "euc_jp", "gbk", "big5")
 TWICE = ("cp1252", "latin-1", "cp1250", "cp1251", "cp437", "mac_roman")
 
-#: Documents that must hold a word before its garbled forms are looked for, and how many times as frequent as the form the original must be: little where
-#: UTF-8 was read as another encoding and left signs among letters, which chance doesn't, much where the form could be a word.
-MIN_DOCS, MIN_RATIO, MIN_RATIO_OTHER = 2, 2, 6
-#: A form that looks like a word (letters of one script) counts only in documents with that many of them.
-MIN_WORDLIKE = 2
+#: How many times as frequent as its garbled form a word must be for the form to count by its frequency: as frequent where UTF-8 was read as another
+#: encoding and left signs among letters, which chance doesn't, more where the form could be a word of its own.
+MIN_RATIO, MIN_RATIO_OTHER = 1, 6
+#: A form that looks like a word (letters of one script) counts only in documents with so many of them, or if it has so many characters.
+MIN_WORDLIKE, MIN_LONE = 2, 8
 #: Words of a document that one chain must explain where the forms are too frequent for these ratios: forms with signs that no word has, and forms like words.
 MIN_SHARED, MIN_SHARED_OTHER = 2, 3
+#: Documents in which a word counts as attested when a text is read back.
+ATTESTED = 2
+#: Longer words, as runs of scripts without spaces are, are joined by their digests.
+LONG = 100
+#: Bits of the filter of all words that garbled forms are held against, 16 megabytes.
+WORD_BITS = 1 << 27
 
 _SPLIT = re.compile(r"[^ \t\r\n]+")
 _RUN = re.compile(r"[^\x00-\x7f]+")
@@ -51,6 +62,8 @@ def _table(encoding: str, hole: str) -> dict[int, str | None]:
     return out
 
 
+#: The bytes without a meaning in an encoding.
+_HOLES = {e: frozenset(b for b, c in _table(e, "lost").items() if c is None) for e in ONE_BYTE}
 _TABLES = {(e, h): _table(e, h) for e in ONE_BYTE for h in ("kept", "marked", "lost")}
 _BACK = {e: {v: chr(b) for b, v in _TABLES[e, "kept"].items() if v} for e in ONE_BYTE}
 
@@ -67,24 +80,28 @@ def _wordlike(form: str) -> bool:
     return all(latin) or not any(latin)
 
 
-def garbled_forms(word: str, frequent: bool) -> dict[str, tuple[str, int, bool, bool]]:
-    """Garbled form -> (chain, times that the original must be as frequent, whether it is a sign by itself, whether only the original looks like a word).
+def _readings(data: bytes, encoding: str) -> list[tuple[str, str]]:
+    """(text, hole): how data reads in a one-byte encoding, three ways if it has bytes without a meaning there."""
+    return [(_read(data, encoding, h), h) for h in (("kept",) if _HOLES[encoding].isdisjoint(data) else ("kept", "marked", "lost"))]
 
-    The chains: UTF-8 read as another encoding once or twice, with bytes that have no meaning there kept, marked or lost; another encoding read as UTF-8;
-    and, for frequent words, one encoding read as another and forms that lost control characters or no-break spaces afterwards.
+
+def readings(word: str) -> Iterator[tuple[str, str, bool]]:
+    """(form, chain, whether nothing was lost but what a sign marks) of a word under all chains of wrong decodings.
+
+    The chains: UTF-8 read as another encoding once or twice, with bytes that have no meaning there kept, marked or lost; with control characters or no-break
+    spaces lost afterwards; another encoding read as UTF-8; and one encoding read as another.
     """
-    out: dict[str, tuple[str, bool]] = {}
     data = word.encode("utf-8", "surrogatepass")
     for e in ONE_BYTE:
-        for hole in ("kept", "marked", "lost"):
-            g = _read(data, e, hole)
-            out.setdefault(g, (f"utf-8>{e}", hole != "lost"))
+        for g, hole in _readings(data, e):
+            yield g, f"utf-8>{e}", hole != "lost"
+            again = g.encode("utf-8", "surrogatepass")
             for e2 in dict.fromkeys((*TWICE, e)):
-                out.setdefault(_read(g.encode(), e2, hole), (f"utf-8>{e}>{e2}", hole != "lost"))
-    for e in ONE_BYTE if frequent else ():
+                yield _read(again, e2, hole), f"utf-8>{e}>{e2}", hole != "lost"
+    for e in ONE_BYTE:
         g = _read(data, e, "kept")
-        out.setdefault(g.translate(_CONTROLS), (f"utf-8>{e}, controls lost", False))
-        out.setdefault(g.replace("\xa0", ""), (f"utf-8>{e}, spaces lost", False))
+        yield g.translate(_CONTROLS), f"utf-8>{e}, controls lost", False
+        yield g.replace("\xa0", ""), f"utf-8>{e}, spaces lost", False
     for source in (*ONE_BYTE, *MULTI_BYTE):
         try:
             own = word.encode(source)
@@ -92,25 +109,49 @@ def garbled_forms(word: str, frequent: bool) -> dict[str, tuple[str, int, bool,
             continue
         g = own.decode("utf-8", "replace")
         if "�" in g:  # what UTF-8 can read without loss is the original, and word its garbled form
-            out.setdefault(g, (f"{source}>utf-8", len(word) > 2))
-        if frequent:
-            if "�" in g:
-                out.setdefault(own.decode("utf-8", "ignore"), (f"{source}>utf-8", False))
-            for e in ONE_BYTE:
-                if e != source:
-                    for hole in ("kept", "marked", "lost"):
-                        out.setdefault(_read(own, e, hole), (f"{source}>{e}", False))
-    for e in MULTI_BYTE if frequent else ():
+            yield g, f"{source}>utf-8", len(word) > 2
+            yield own.decode("utf-8", "ignore"), f"{source}>utf-8", False
+        for e in ONE_BYTE:
+            if e != source:
+                for g, _ in _readings(own, e):
+                    yield g, f"{source}>{e}", False
+    for e in MULTI_BYTE:
         for errors in ("replace", "ignore"):
-            out.setdefault(data.decode(e, errors), (f"utf-8>{e}", False))
-    kept, letters = {}, _wordlike(word)
-    for g, (chain, certain) in out.items():
-        wordlike = _wordlike(g)
-        certain = certain and not wordlike
-        if len(g) >= (2 if certain else 3) and not g.isascii() and g != word and g.strip("�"):
-            grown = chain.startswith("utf-8>") and len(word) > 2 and len(g) > len(word)
-            kept[g] = (chain, MIN_RATIO if certain else MIN_RATIO_OTHER, grown or not wordlike, letters and not wordlike)
-    return kept
+            yield data.decode(e, errors), f"utf-8>{e}", False
+
+
+def _odd_case(word: str) -> bool:
+    """Whether a capital follows a small letter and none starts the word, as where the cases of two encodings are swapped."""
+    return word[:1].islower() and any(c.isupper() for c in word)
+
+
+def _judged(word: str, g: str, chain: str, certain: bool) -> tuple[str, int, bool, bool] | None:
+    """(chain, times that the original must be as frequent, whether it is a sign by itself, whether only the original looks like a word), if g can count at all."""
+    wordlike, letters = _wordlike(g), _wordlike(word)
+    certain = certain and not wordlike
+    if len(g) < (2 if certain else 3) or g.isascii() or g == word or not g.strip("�"):
+        return None
+    grown = chain.startswith("utf-8>") and len(word) > 2 and len(g) > len(word)
+    strong = letters and (not wordlike or (_odd_case(g) and not _odd_case(word)))
+    return chain, MIN_RATIO if certain else MIN_RATIO_OTHER, grown or not wordlike or len(g) >= MIN_LONE, strong
+
+
+def garbled_forms(word: str) -> dict[str, tuple[str, int, bool, bool]]:
+    """Garbled form -> (chain, times that the original must be as frequent, whether it is a sign by itself, whether only the original looks like a word)."""
+    first: dict[str, tuple[str, bool]] = {}
+    for g, chain, certain in readings(word):
+        first.setdefault(g, (chain, certain))
+    judged = {g: _judged(word, g, *how) for g, how in first.items()}
+    return {g: how for g, how in judged.items() if how}
+
+
+def join_key(word: str) -> str:
+    """What words are joined by: the word, or its digest if it is long, so that no form of a long word is stored."""
+    return word if len(word) <= LONG else "\0" + hashlib.md5(word.encode("utf-8", "surrogatepass")).hexdigest()
+
+
+def _key(word: Column) -> Column:
+    return F.when(F.length(word) <= LONG, word).otherwise(F.concat(F.lit("\0"), F.md5(word)))
 
 
 def unescaped(text: str) -> str:
@@ -129,17 +170,34 @@ def words_of(text: str | None) -> list[str]:
     return list(found)
 
 
-def document_words(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_key, word), distinct for each row; rows without a text or without non-ASCII characters have none. Equal texts have the same text_key."""
+def document_words(docs: DataFrame, among: bytes | None = None) -> DataFrame:
+    """(doc_id, text_key, word), distinct for each row; rows without a text or without non-ASCII characters have none. Equal texts have the same text_key.
+
+    among: a filter of join keys; words that certainly aren't among them are left out before they become rows.
+    """
+    held = docs.sparkSession.sparkContext.broadcast(among) if among else None
 
     @F.pandas_udf("array<string>")
     def words(texts: pd.Series) -> pd.Series:
-        return texts.map(words_of)
+        if held is None:
+            return texts.map(words_of)
+        bits = held.value
+        return texts.map(lambda t: [w for w in words_of(t) if _may_be(join_key(w), bits)])
 
     marked = pick(docs, "doc_id", "text").filter(F.col("doc_id").isNotNull() & F.col("text").rlike(r"[^\x00-\x7f]|&[#A-Za-z]")).select("doc_id", "text")
     return marked.select("doc_id", F.xxhash64("text").alias("text_key"), F.explode(words("text")).alias("word"))
 
 
+def _may_be(key: str, bits: bytes) -> bool:
+    """Whether the filter may hold the key; the hash is that of xxhash64 in SQL."""
+    h = xxhash.xxh64_intdigest(key.encode("utf-8", "surrogatepass"), 42) & (len(bits) * 8 - 1)
+    return bits[h >> 3] >> (h & 7) & 1 == 1
+
+
+def _filter_of(df: DataFrame, key: str, n: int) -> bytes:
+    return as_bytes(bits_of(df, F.xxhash64(key), n, WORD_BITS))
+
+
 def vocabulary(words: DataFrame) -> DataFrame:
     """(word, n_docs, n_texts, n_folded, n_folded_texts): documents and distinct texts with the word, copies of a text counting once in the latter.
 
@@ -152,37 +210,47 @@ def vocabulary(words: DataFrame) -> DataFrame:
 
 
 def garble_table(vocab: DataFrame) -> DataFrame:
-    """(word, origin, chain, alone, shared) of the words of vocab that are or can be a garbled form of another word; vocab should be cut.
+    """(key, origin, chain, alone, shared) of the words of vocab that are or can be a garbled form of another word; vocab should be cut.
+
+    All words are put through all chains. A form goes on only if the filter of all words of the corpus may hold it, so that the thousand forms of a
+    word are tested where they are made and hardly more rows leave the task than are joined.
 
     shared: how many words of a document its chain must explain for the form to count, 0 if its frequency tells already. A form that looks like a word
     and is more than half as frequent as its original is left out, as the original could as well be the garbled one. Of several originals one that needs no
     further words is taken first, then the most frequent one, then the least.
     """
+    vocab = vocab.withColumn("key", _key(F.col("word")))
+    sc = vocab.sparkSession.sparkContext
+    held = sc.broadcast(_filter_of(vocab, "key", vocab.count()))
 
     def forms(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = ["word", "origin", "n_origin", "n_origin_texts", "chain", "ratio", "alone", "strong"]
+        bits = held.value
+        columns = ["key", "origin", "n_origin", "n_origin_texts", "chain", "ratio", "alone", "strong"]
         for pdf in frames:
             rows = []
             for word, n, m in zip(pdf["word"], pdf["n_docs"], pdf["n_texts"], strict=True):
-                rows += [(g, word, n, m, *how) for g, how in garbled_forms(word, n >= MIN_RATIO_OTHER).items()]
-                if len(rows) > 50_000:
-                    yield pd.DataFrame(rows, columns=columns)
-                    rows = []
+                seen = set()
+                for g, chain, certain in readings(word):
+                    key = join_key(g)
+                    if key not in seen and _may_be(key, bits):
+                        seen.add(key)
+                        if how := _judged(word, g, chain, certain):
+                            rows.append((key, word, n, m, *how))
             yield pd.DataFrame(rows, columns=columns)
 
-    attested = vocab.filter((F.col("n_docs") >= MIN_DOCS) & (F.length("word") <= 100)).select("word", "n_docs", "n_texts")
     # words are handed out evenly: one word has a thousand forms
-    spread = attested.repartition(attested.sparkSession.sparkContext.defaultParallelism * 4)
-    made = spread.mapInPandas(forms, "word string, origin string, n_origin bigint, n_origin_texts bigint, chain string, ratio int, alone boolean, strong boolean")
-    hits = made.join(broadcast_if_bounded(vocab), "word")
-    rare = (F.col("n_origin") >= F.col("ratio") * F.col("n_folded")) | (F.col("n_origin_texts") >= F.col("ratio") * F.col("n_folded_texts"))
-    twice = (F.col("n_origin") >= MIN_RATIO * F.col("n_folded")) | (F.col("n_origin_texts") >= MIN_RATIO * F.col("n_folded_texts"))
-    sign = F.col("alone") & (F.col("ratio") == MIN_RATIO) & (F.col("chain").rlike("^utf-8>[^,]+$") | F.col("word").contains("�"))
+    spread = vocab.select("word", "n_docs", "n_texts").repartition(sc.defaultParallelism * 4)
+    made = cut(spread.mapInPandas(forms, "key string, origin string, n_origin bigint, n_origin_texts bigint, chain string, ratio int, alone boolean, strong boolean"))
+    hits = safe_join(vocab.select("key", "word", "n_folded", "n_folded_texts"), made, "key")
+    ratio = F.col("ratio")
+    rare = (F.col("n_origin") >= ratio * F.col("n_folded")) | (F.col("n_origin_texts") >= ratio * F.col("n_folded_texts"))
+    twice = (F.col("n_origin") >= 2 * F.col("n_folded")) | (F.col("n_origin_texts") >= 2 * F.col("n_folded_texts"))
+    sign = F.col("alone") & (ratio == MIN_RATIO) & (F.col("chain").rlike("^utf-8>[^,]+$") | F.col("word").contains("�"))
     one_byte = F.col("chain").rlike("^[^,>]+>[^,>]+$") & ~F.col("chain").rlike("utf-8")
     shared = F.when(rare, 0).when(sign | (one_byte & F.col("strong")), MIN_SHARED).when(one_byte & twice & F.col("origin").rlike(r"^[\p{L}&&[^ªº]]+$"), MIN_SHARED_OTHER)
     kept = hits.withColumn("shared", shared).filter("shared is not null")
-    best = kept.groupBy("word").agg(F.min(F.struct((F.col("shared") > 0).alias("more"), (-F.col("n_origin")).alias("n"), "origin", "chain", "alone", "shared")).alias("best"))
-    return best.select("word", "best.origin", "best.chain", "best.alone", "best.shared")
+    best = kept.groupBy("key").agg(F.min(F.struct((F.col("shared") > 0).alias("more"), (-F.col("n_origin")).alias("n"), "origin", "chain", "alone", "shared")).alias("best"))
+    return best.select("key", "best.origin", "best.chain", "best.alone", "best.shared")
 
 
 def _by_shared_chain(hits: Column) -> Column:
@@ -205,13 +273,13 @@ def garbled_words(docs: DataFrame) -> DataFrame:
     A document with a null key or text has none. The words are taken from the texts twice rather than stored, as the texts are read
     faster than they would be written.
     """
-    words = document_words(docs)
-    return _hits(words, cut(vocabulary(words)))
+    return _hits(docs, cut(vocabulary(document_words(docs))))
 
 
-def _hits(words: DataFrame, vocab: DataFrame) -> DataFrame:
+def _hits(docs: DataFrame, vocab: DataFrame) -> DataFrame:
     table = cut(garble_table(vocab))
-    found = words.join(broadcast_if_bounded(table), "word").groupBy("doc_id").agg(F.collect_set(F.struct("word", "origin", "chain", "alone", "shared")).alias("hits"))
+    words = document_words(docs, _filter_of(table, "key", table.count())).withColumn("key", _key(F.col("word")))
+    found = safe_join(words, table, "key").groupBy("doc_id").agg(F.collect_set(F.struct("word", "origin", "chain", "alone", "shared")).alias("hits"))
     found = found.select("doc_id", _by_shared_chain(F.col("hits")).alias("hits"))
     return found.filter(F.exists("hits", lambda h: h["alone"]) | (F.size("hits") >= MIN_WORDLIKE))
 
@@ -256,14 +324,51 @@ def reversible_words(text: str, hits: list[tuple[str, str, str]]) -> dict[str, s
     return out
 
 
+#: A character reference, fixed with the grammar of HTML.
+_ENTITY = re.compile(r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)")
+
+
+def replaced(text: str, edits: list[tuple[int, int, str]]) -> str:
+    """text after edits (start, end, new) of its unescaped form, in order; what no edit touches keeps its character references."""
+    if not edits:
+        return text
+    # stretches (start in the unescaped text, start in text) between which both run alike or one reference stands
+    marks, at, last = [], 0, 0
+    for m in _ENTITY.finditer(text) if "&" in text else ():
+        marks += [(at, last, 1), (at + m.start() - last, m.start(), 0)]
+        at, last = at + m.start() - last + len(html.unescape(m[0])), m.end()
+    marks.append((at, last, 1))
+    starts = [m[0] for m in marks]
+
+    def place(i: int, end: bool) -> int:
+        """The place in text of place i of the unescaped text; inside a reference, its start or end."""
+        k = bisect_right(starts, i) - 1
+        while end and k and starts[k] == i:  # an end belongs to the stretch before
+            k -= 1
+        u, t, alike = marks[k]
+        if alike:
+            return t + i - u
+        return marks[k + 1][1] if end and i > u else t
+
+    out, done = [], 0
+    for start, end, new in edits:
+        a = place(start, False)
+        if a < done:  # both edits are inside of one reference
+            continue
+        out += [text[done:a], new]
+        done = place(end, True)
+    return "".join(out) + text[done:]
+
+
 def restore(text: str, hits: list[tuple[str, str, str]], known: dict[str, tuple[str, int, int]] | None = None) -> tuple[str, int, int]:
     """The text with garbled words replaced, the number of replacements, and of stretches that stayed garbled.
 
     Words that aren't among hits are read back by the document's own chains where that is possible without loss. Valid UTF-8 proves itself; for other chains
     known has for each such word what it was and the documents with either. The word is read back if its earlier form is more frequent or alone looks like
     a word, kept if only it is attested, and else read back where the nearest decided words on both sides are garbled. Undecided ones count as left.
+    Everything outside of the replaced stretches stays as it is, character references too.
     """
-    t, done, open_left = unescaped(text), 0, 0
+    t, edits, open_left = unescaped(text), [], 0
     known = known or {}
     origin = {w: o for w, o, _ in hits}
     runs = {w: o for w, o in origin.items() if _RUN.fullmatch(w)}
@@ -283,9 +388,9 @@ def restore(text: str, hits: list[tuple[str, str, str]], known: dict[str, tuple[
         if core not in known:
             return None if any(reversal(core, c) == core for c in others) else any(r in runs or by_chain(r) is not None for r in _RUN.findall(w))
         was, n_was, n = known[core]
-        if (n_was > n and n_was >= MIN_DOCS) or (_wordlike(was) and not _wordlike(core) and (n < MIN_DOCS or n <= n_was)):
+        if (n_was > n and n_was >= ATTESTED) or (_wordlike(was) and not _wordlike(core) and (n < ATTESTED or n <= n_was)):
             return True
-        return False if n >= MIN_DOCS > n_was else None
+        return False if n >= ATTESTED > n_was else None
 
     words = _SPLIT.findall(t) if known else []
     judged = dict(zip(words, map(state, words), strict=True)) if known else {}
@@ -298,42 +403,35 @@ def restore(text: str, hits: list[tuple[str, str, str]], known: dict[str, tuple[
         after.append(last)
         last = last if judged[w] is None else judged[w]
     around = iter(zip(before, reversed(after), strict=True))
-
-    def one(m: re.Match) -> str:
-        nonlocal done, open_left
+    for m in _SPLIT.finditer(t):
         w = m[0]
         sides = next(around) if known else ()
         if w.isascii():
-            return w
+            continue
         core = w.strip(_ENDS)
+        at = m.start() + w.index(core)
         if core in origin:
-            done += 1
-            return w.replace(core, origin[core], 1)
+            edits.append((at, at + len(core), origin[core]))
+            continue
         if core in known and judged[w] is not False:
             if judged[w] or (True in sides and False not in sides):
-                done += 1
-                return w.replace(core, known[core][0], 1)
+                edits.append((at, at + len(core), known[core][0]))
+                continue
             open_left += 1
-
-        def run(r: re.Match) -> str:
-            nonlocal done
+        for r in _RUN.finditer(w):
             new = runs.get(r[0]) or by_chain(r[0])
-            done += new is not None
-            return r[0] if new is None else new
-
-        return _RUN.sub(run, w)
-
-    t = _SPLIT.sub(one, t)
-    still = set(_SPLIT.findall(t))
-    left = t.count("�") + sum(w in still for w in whole) + open_left
-    return t, done, left
+            if new is not None:
+                edits.append((m.start() + r.start(), m.start() + r.end(), new))
+    out = replaced(text, edits)
+    now = unescaped(out)
+    still = set(_SPLIT.findall(now))
+    return out, len(edits), now.count("�") + sum(w in still for w in whole) + open_left
 
 
 def restored_documents(docs: DataFrame) -> DataFrame:
     """(doc_id, text, n_restored, n_left): the garbled documents with their originals put back where they can be known."""
-    words = document_words(docs)
-    vocab = cut(vocabulary(words))
-    rows = pick(docs, "doc_id", "text").join(cut(_hits(words, vocab)), "doc_id")
+    vocab = cut(vocabulary(document_words(docs)))
+    rows = safe_join(pick(docs, "doc_id", "text").filter(F.col("doc_id").isNotNull()), cut(_hits(docs, vocab)), "doc_id")
 
     def plain(hits: list) -> list[tuple[str, str, str]]:
         return [(h["word"], h["origin"], h["chain"]) for h in sorted(hits, key=lambda h: h["word"])]

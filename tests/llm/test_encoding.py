@@ -60,8 +60,8 @@ def test_restored(tables, name):
 
 def test_forms_never_hold_the_word_itself():
     for w in ("Brânto", "щавель", "—", "plain"):
-        assert w not in encoding.garbled_forms(w, True)
-    assert encoding.garbled_forms("plain", True) == {}
+        assert w not in encoding.garbled_forms(w)
+    assert encoding.garbled_forms("plain") == {}
 
 
 def test_empty_and_clashing(spark):
@@ -103,3 +103,37 @@ def test_short_and_new_words_of_the_own_chain_are_restored(spark):
     got = {r.doc_id: r for r in encoding.restored_documents(docs).collect()}
     assert got[100].text == text and got[101].text == text and got[100].n_left == got[101].n_left == 0
     assert got[102].text == "мы вьюга. зелёный щавель мы ёжик мы вьюга ЩУКИН" and got[102].n_left == 1
+
+
+def test_originals_in_one_document_and_long_runs(spark):
+    """A word attested once; runs of a script without spaces, longer than words are."""
+    thai = "".join(chr(0x0E01 + i * 7 % 46) for i in range(120))
+    runs = {n: thai[: n // 2] + thai[-(n - n // 2) :] for n in (40, 99, 101, 120)}
+    clean = [(i, f"{runs[n]} number {i}") for i, n in enumerate([*runs] * 10)] + [(100, "einmal würzig gesagt"), (101, "plain words only")]
+    bad = [(1000 + n, f"before {wrong(r, ('utf-8', 'cp1252'))} after") for n, r in runs.items()] + [(2000, "gar " + wrong("würzig", ("utf-8", "cp1252")))]
+    docs = spark.createDataFrame(clean + bad, DOCS)
+    assert {r.doc_id for r in encoding.garbled_documents(docs).collect()} == {i for i, _ in bad}
+    got = {r.doc_id: r.text for r in encoding.restored_documents(docs).collect()}
+    assert got == {1000 + n: f"before {r} after" for n, r in runs.items()} | {2000: "gar würzig"}
+
+
+def test_correct_references_stay(spark):
+    bad = wrong("façade", ("utf-8", "cp1252"))
+    escaped = bad.encode("ascii", "xmlcharrefreplace").decode()
+    docs = spark.createDataFrame([(i, f"a façade {i}") for i in range(5)] + [(10, f"AT&amp;T &lt;code&gt; {bad} &eacute;&nbsp;x"), (11, f"&quot;{escaped}&quot; &amp;c. {bad}")], DOCS)
+    got = {r.doc_id: r.text for r in encoding.restored_documents(docs).collect()}
+    assert got == {10: "AT&amp;T &lt;code&gt; façade &eacute;&nbsp;x", 11: "&quot;façade&quot; &amp;c. façade"}
+
+
+def test_replaced_keeps_what_it_does_not_touch():
+    assert encoding.replaced("a&amp;b&eacute;c", [(2, 4, "X")]) == "a&amp;Xc"
+    assert encoding.replaced("&eacute;&eacute;", [(0, 1, "X"), (1, 2, "Y")]) == "XY"
+    assert encoding.replaced("plain", []) == "plain" and encoding.replaced("plain", [(0, 5, "")]) == ""
+    assert encoding.replaced("&lt;xy&gt;", [(1, 3, "Z")]) == "&lt;Z&gt;"
+
+
+def test_every_form_passes_the_filter_of_its_words(spark):
+    forms = [g for w in ("façade", "щавель") for g in encoding.garbled_forms(w)]
+    df = spark.createDataFrame([(encoding.join_key(g),) for g in forms], "key string")
+    bits = encoding._filter_of(df, "key", len(forms))
+    assert all(encoding._may_be(encoding.join_key(g), bits) for g in forms)
