@@ -53,7 +53,9 @@ def p1_sample_counts(spark: SparkSession, d: str) -> DataFrame:
     return report.select("sample_id", "type", "target_rows", "available").join(drawn, ["sample_id", "type"])
 
 
-@query()
+@query(_TYPED + """, q as (select distinct sample_id, coalesce(nullif(upper(trim(type)), ''), 'OTHER') t, cast(least(available, greatest(round(target_rows), min_rows)) as bigint) quota from report),
+d as (select sample_id, instance_id, typed.type as type, quota, row_number() over (partition by sample_id, typed.type order by md5(sample_id || ':' || instance_id || ':20'), instance_id) r from typed join q on t = typed.type)
+select sample_id, instance_id, type from d where r <= quota""")
 def p1_sample(spark: SparkSession, d: str) -> DataFrame:
     """The samples themselves."""
     return sampling.matched_sample(read_table(spark, d, "instances"), read_table(spark, d, "entity_kb"), read_table(spark, d, "sample_targets"))[0]

@@ -1,3 +1,4 @@
+import hashlib
 from collections import Counter
 
 from anchorline.llm import sampling
@@ -46,3 +47,24 @@ def test_edges(spark):
     assert got[0].count() == 0 and got[1].first().exhausted
     clash = instances.selectExpr("*", "'x' as TYPE", "'y' as ANSWER", "1 as __task")
     assert sampling.typed_instances(clash, kb).count() == sampling.typed_instances(instances, kb).count()
+
+
+def test_unlucky_reservoirs_are_filled_again(spark, monkeypatch):
+    """Bounds that are far too low, and rows marked as sure that aren't: the sample stays the same."""
+    instances, kb = data(spark, 3000)
+    targets = spark.createDataFrame([(1, "PERS", 0.5, 0.5, 1), (1, "ORG", 0.3, 0.5, 1), (2, "OTHER", 1.0, 0.3, 1)], TARGETS)
+    want = sorted(map(tuple, sampling.matched_sample(instances, kb, targets)[0].collect()))
+    for sigmas, spare in ((0.0, -200.0), (6.0, 30.0), (-20.0, 0.0)):
+        monkeypatch.setattr(sampling, "SIGMAS", sigmas)
+        monkeypatch.setattr(sampling, "SPARE", spare)
+        assert sorted(map(tuple, sampling.matched_sample(instances, kb, targets)[0].collect())) == want
+
+
+def test_least_priorities_by_brute_force(spark):
+    instances, kb = data(spark, 5000)
+    targets = spark.createDataFrame([(1, "PERS", 0.5, 0.5, 1), (2, "ORG", 1.0, 0.1, 1)], TARGETS)
+    got = sampling.matched_sample(instances, kb, targets)[0].collect()
+    of = {"PERS": [i for i in range(5000) if i % 12 < 5], "ORG": [i for i in range(5000) if 5 <= i % 12 < 8]}
+    for sample, kind, n in ((1, "PERS", 1250), (2, "ORG", 500)):
+        want = sorted(of[kind], key=lambda i: hashlib.md5(f"{sample}:{i}:{sampling.SEED}".encode()).hexdigest())[:n]
+        assert {x.instance_id for x in got if x.sample_id == sample} == set(want)
