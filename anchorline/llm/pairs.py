@@ -6,7 +6,7 @@ Odds ratios with a continuity correction follow from the counts.
 
 Two exact bounds keep hot items and long records from exploding. A pair can occur in min_records records only if both its items do, and it can reach
 min_lift only if neither item is in more than records / min_lift records, since a pair is in no more records than its rarer item. Items beyond either bound are taken
-out before pairs are made. Long records are divided into blocks, and the pairs of two blocks are made by a task of their own.
+out before pairs are made. Long records are divided into blocks before they are put together, and each pair of blocks is a row of its own.
 """
 
 from __future__ import annotations
@@ -18,8 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from anchorline.operators.skew import skew_join
-from anchorline.session import bounded, cut, parallelism, pick
+from anchorline.operators.skew import safe_join, skew_join
+from anchorline.session import bounded, broadcast_if_bounded, cut, parallelism, pick
 
 #: Items in a block of a record.
 BLOCK = 128
@@ -41,7 +41,7 @@ def _runs(codes: np.ndarray, counts: np.ndarray | None) -> tuple[np.ndarray, np.
 
 
 def _pair_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks (a, b, same) to sorted runs of pair codes with counts."""
+    """Blocks (a, b, same) to sorted runs of pair codes with counts; of same blocks only a is read."""
     limit, held, size = 1 << 20, [], 0
 
     def flush() -> pa.RecordBatch:
@@ -51,8 +51,11 @@ def _pair_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a, b, same in zip(batch.column(0), batch.column(1), batch.column(2).to_pylist(), strict=True):
             x, y = (v.values.to_numpy(zero_copy_only=False).astype(np.int64) for v in (a, b))
-            codes = (x[:, None] << 32) | y[None, :]
-            codes = codes[np.triu_indices(x.size, 1)] if same else codes.ravel()
+            if same:
+                x, y = x[(at := np.triu_indices(x.size, 1))[0]], x[at[1]]
+            else:
+                x, y = np.repeat(x, y.size), np.tile(y, x.size)
+            codes = (np.minimum(x, y) << 32) | np.maximum(x, y)
             if codes.size:
                 held.append(codes)
                 size += codes.size
@@ -82,6 +85,35 @@ def _merge_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([last], pa.int64()), pa.array([carry], pa.int64())], names=["code", "n"])
 
 
+def _long_records(numbered: DataFrame) -> DataFrame:
+    """(record, blocks) of the records with more than a block of items; there are at most items / BLOCK of them."""
+    sizes = numbered.groupBy("record").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BLOCK)
+    return sizes.select("record", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+
+
+def _short_jobs(numbered: DataFrame, long: DataFrame | None) -> DataFrame:
+    """(a, b, same): the items of each record that is no long one, against themselves."""
+    rows = numbered if long is None else numbered.join(broadcast_if_bounded(long), "record", "left_anti")
+    lists = rows.groupBy("record").agg(F.array_sort(F.collect_list("id")).alias("a")).filter(F.size("a") > 1)
+    return lists.select("a", F.array().cast("array<int>").alias("b"), F.lit(True).alias("same"))
+
+
+def _long_jobs(numbered: DataFrame, long: DataFrame) -> DataFrame:
+    """(a, b, same) for each pair of blocks of the long records. A hash deals a record's items into blocks, so no row holds more than about a block.
+
+    Each block is sent to the pairs it belongs to, whose keys are spread over all tasks, so no task sees a whole record either.
+    """
+    rows = safe_join(numbered, cut(long), "record")
+    blocks = rows.groupBy("record", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("k")).agg(F.collect_list("id").alias("ids"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o")
+    sent = blocks.select("record", "k", "ids", other).select("record", F.least("k", "o").alias("i"), F.greatest("k", "o").alias("j"), F.struct("k", "ids").alias("block"))
+    met = sent.groupBy("record", "i", "j").agg(F.array_sort(F.collect_list("block")).alias("m"))
+    same = F.col("i") == F.col("j")
+    # the pair of a block with one that got no items has one member and no pairs of its own
+    kept = met.filter(same | (F.size("m") == 2))
+    return kept.select(F.array_sort(F.col("m")[0]["ids"]).alias("a"), F.when(same, F.array().cast("array<int>")).otherwise(F.try_element_at("m", F.lit(2))["ids"]).alias("b"), same.alias("same"))
+
+
 def count_pairs(members: DataFrame, min_records: int = 1, min_lift: float = 0.0) -> DataFrame:
     """Pairs of items that occur together in at least min_records records with a lift of at least min_lift.
 
@@ -90,7 +122,8 @@ def count_pairs(members: DataFrame, min_records: int = 1, min_lift: float = 0.0)
     odds_ratio, each cell of its 2x2 table raised by 0.5. An empty table gives no pairs.
     """
     members = cut(pick(members, "record", "item").filter(F.col("record").isNotNull()).distinct())
-    n_records = members.select("record").distinct().count()
+    lengths = members.groupBy("record").agg(F.count("item").alias("n"))
+    n_records, longest = lengths.agg(F.count(F.lit(1)), F.coalesce(F.max("n"), F.lit(0))).first()
     singles = members.filter(F.col("item").isNotNull()).groupBy("item").agg(F.count(F.lit(1)).alias("n_item"))
     useful = singles.filter(F.col("n_item") >= min_records)
     if min_lift > 0:
@@ -98,14 +131,13 @@ def count_pairs(members: DataFrame, min_records: int = 1, min_lift: float = 0.0)
     ids = cut(dense_ids(useful, "item"))
     small = bounded(ids)
     numbered = members.join(F.broadcast(ids.select("item", "id")), "item") if small else skew_join(members, ids.select("item", "id"), "item")
-    lists = numbered.groupBy("record").agg(F.array_sort(F.collect_list(F.col("id").cast("int"))).alias("ids")).filter(F.size("ids") > 1)
-    starts = F.sequence(F.lit(0), F.size("ids") - 1, F.lit(BLOCK))
-    blocks = lists.withColumn("starts", starts)
-    pairs_of_blocks = F.flatten(F.transform("starts", lambda i: F.transform(F.filter("starts", lambda j: j >= i), lambda j: F.struct(i.alias("i"), j.alias("j")))))
-    block = blocks.select("ids", F.explode(pairs_of_blocks).alias("p"))
-    jobs = block.select(F.slice("ids", F.col("p.i") + 1, BLOCK).alias("a"), F.slice("ids", F.col("p.j") + 1, BLOCK).alias("b"), (F.col("p.i") == F.col("p.j")).alias("same"))
-    long = jobs.filter(~F.col("same")).repartition(parallelism(members.sparkSession))
-    runs = jobs.filter("same").unionByName(long).mapInArrow(_pair_runs, "code bigint, n bigint")
+    numbered = numbered.select("record", F.col("id").cast("int").alias("id"))
+    if longest > BLOCK:
+        numbered = cut(numbered)
+        jobs = _short_jobs(numbered, _long_records(numbered)).unionByName(_long_jobs(numbered, _long_records(numbered)))
+    else:
+        jobs = _short_jobs(numbered, None)
+    runs = jobs.mapInArrow(_pair_runs, "code bigint, n bigint")
     merged = runs.repartition(parallelism(members.sparkSession), "code").sortWithinPartitions("code").mapInArrow(_merge_runs, "code bigint, n bigint")
     together = merged.filter(F.col("n") >= min_records).select(F.shiftrightunsigned("code", 32).alias("ia"), F.col("code").bitwiseAND(F.lit(0xFFFFFFFF)).alias("ib"), F.col("n").alias("n_together"))
     a = ids.select(F.col("id").alias("ia"), F.col("item").alias("item_a"), F.col("n_item").alias("n_a"))

@@ -64,3 +64,14 @@ def test_records_of_the_tables(spark):
 
 def test_empty(spark):
     assert found(spark, []) == {} and found(spark, [], 6, 3.0) == {}
+
+
+def test_no_row_of_a_long_record_is_long(spark):
+    """Ten thousand items in one record: every job row holds two blocks."""
+    numbered = spark.range(10_000).selectExpr("'r' as record", "cast(id as int) as id").union(spark.range(50).selectExpr("'s' as record", "cast(id as int) as id"))
+    long = pairs._long_records(numbered)
+    jobs = pairs._long_jobs(numbered, long)
+    assert jobs.selectExpr("max(greatest(size(a), size(b)))").first()[0] < 2 * pairs.BLOCK
+    made = jobs.selectExpr("sum(if(same, size(a) * (size(a) - 1) / 2, size(a) * size(b)))").first()[0]
+    assert made == 10_000 * 9_999 / 2
+    assert [len(r.a) for r in pairs._short_jobs(numbered, long).collect()] == [50]
