@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from anchorline.operators.skew import skew_join
-from anchorline.session import bounded, cut, pick
+from anchorline.operators.skew import LoadPlan, plan_load, skew_join
+from anchorline.session import bounded, cut, pick, release
 
 #: Standard normal quantile of the two-sided 95 % interval.
 Z = 1.959963984540054
@@ -48,36 +48,63 @@ def majority(labels: DataFrame, min_labels: int) -> DataFrame:
     return top.select("instance_id", "n_labels", (F.col("m") / F.col("n_labels")).alias("share"), F.try_divide("same", F.col("n_labels") * (F.col("n_labels") - 1)).alias("pair_agreement"), F.when(single & (F.col("n_labels") >= min_labels), F.col("top.label")).alias("majority"))
 
 
-def _weighted(labels: DataFrame, weights: DataFrame) -> DataFrame:
-    return labels.join(F.broadcast(weights), "user_id") if bounded(weights) else skew_join(labels, weights, "user_id")
+class _Labels:
+    """The labels, joined again and again by item and by annotator; how a frequent key is split is planned once."""
 
+    def __init__(self, labels: DataFrame) -> None:
+        self.rows = labels
+        self.plans: dict[str, LoadPlan] = {}
 
-def discover(states: DataFrame, rounds: int = 5, min_labels: int = 3) -> tuple[DataFrame, DataFrame]:
+    def joined(self, right: DataFrame, key: str) -> DataFrame:
+        if bounded(right):
+            return self.rows.join(F.broadcast(right), key)
+        if key not in self.plans:
+            self.plans[key] = plan_load(self.rows, key)
+        return skew_join(self.rows, right, key, plan=self.plans[key])
+
+
+def discover(states: DataFrame, max_rounds: int = 50, min_labels: int = 3) -> tuple[DataFrame, DataFrame]:
     """(items, annotators).
 
-    items: instance_id, label, n_labels, confidence (the weighted share of label), pair_agreement (share of label pairs that agree, null for one label), majority.
-    annotators: user_id, n_labels, n_judged (labels of items with a majority), n_agree (of these, equal to it), weight. A tie in weight gives the greater label.
-    No labels give empty results. The label of an item that few share and of annotators with a long tail of few labels still counts.
+    items: instance_id, label, n_labels, confidence (the weighted share of label), pair_agreement (share of label pairs that agree, null for one label),
+    majority, settled. annotators: user_id, n_labels, n_judged (labels of items with a majority), n_agree (of these, equal to it), errors (labels that aren't
+    the item's), weight. A tie in weight gives the greater label. No labels give empty results. The label of an item that few share and of
+    annotators with a long tail of few labels still counts.
+
+    The iteration starts from the majority and ends when no item's label changes, so that labels and weights belong together; weights are rounded to
+    millionths and added as decimals, which makes the end exact and the same on every run. Items whose label still changes in the last
+    of max_rounds are not settled. One state is carried along: each item's label now and at the start, and each annotator's distance from either; the
+    record against the start, which is what a majority is asked for, is thus read from the same rows as the weights.
     """
     labels = cut(annotator_labels(states))
+    by = _Labels(labels)
     first = cut(majority(labels, min_labels))
-    judged = labels.join(first.select("instance_id", "majority"), "instance_id")
-    agree = F.col("label") == F.col("majority")
-    record = cut(judged.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_labels"), F.count("majority").alias("n_judged"), F.coalesce(F.sum(agree.cast("long")), F.lit(0)).alias("n_agree")))
-    error = record.select("user_id", "n_labels", (F.col("n_judged") - F.col("n_agree")).alias("errors"))
-    truths = weights = None
-    for _ in range(rounds):
-        weights = cut(error.select("user_id", (_chi_square_low(F.col("n_labels")) / (F.col("errors") + SMOOTH)).alias("weight")))
-        votes = _weighted(labels, weights).groupBy("instance_id", "label").agg(F.sum("weight").alias("w"))
-        truths = cut(votes.groupBy("instance_id").agg(F.max(F.struct("w", "label")).alias("top"), F.sum("w").alias("all")))
-        against = labels.join(truths.select("instance_id", F.col("top.label").alias("truth"), (F.col("top.w") / F.col("all")).alias("sure")), "instance_id")
-        # the distance from an unsure truth counts less
-        error = against.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_labels"), F.sum(F.when(F.col("label") != F.col("truth"), F.col("sure")).otherwise(0.0)).alias("errors"))
-    items = truths.select("instance_id", F.col("top.label").alias("label"), F.try_divide(F.col("top.w"), F.col("all")).alias("confidence")).join(first, "instance_id")
-    people = record.join(weights, "user_id")
-    return items.select("instance_id", "label", "n_labels", "confidence", "pair_agreement", "majority"), people
+    state = cut(first.select("instance_id", F.col("majority").alias("label"), "majority", F.lit(None).cast("double").alias("confidence"), F.lit(False).alias("settled")))
+    people = None
+    for _ in range(max_rounds):
+        against = by.joined(state.select("instance_id", F.col("label").alias("truth"), "majority"), "instance_id")
+        differs, agrees = F.col("label") != F.col("truth"), F.col("label") == F.col("majority")
+        record = against.groupBy("user_id").agg(
+            F.count(F.lit(1)).alias("n_labels"), F.count("majority").alias("n_judged"), F.coalesce(F.sum(agrees.cast("long")), F.lit(0)).alias("n_agree"), F.count_if(differs).alias("errors")
+        )
+        weight = F.round(_chi_square_low(F.col("n_labels")) / (F.col("errors") + SMOOTH), 6).cast("decimal(18,6)")
+        people = cut(record.withColumn("weight", weight))
+        votes = by.joined(people.select("user_id", "weight"), "user_id").groupBy("instance_id", "label").agg(F.sum("weight").alias("w"))
+        best = votes.groupBy("instance_id").agg(F.max(F.struct("w", "label")).alias("top"), F.sum("w").alias("all"))
+        was = state.withColumnRenamed("label", "was").drop("confidence", "settled")
+        now = best.join(was, "instance_id").select("instance_id", F.col("top.label").alias("label"), "majority", F.try_divide(F.col("top.w").cast("double"), F.col("all").cast("double")).alias("confidence"), F.col("top.label").eqNullSafe(F.col("was")).alias("settled"))
+        old, state = state, cut(now)
+        release(old)
+        if state.filter(~F.col("settled")).isEmpty():
+            break
+    items = state.join(first.drop("majority"), "instance_id")
+    return items.select("instance_id", "label", "n_labels", "confidence", "pair_agreement", "majority", "settled"), people.withColumn("weight", F.col("weight").cast("double"))
 
 
 def unreliable(annotators: DataFrame, below_percent: int = 60) -> DataFrame:
-    """Annotators who agree with the majority in less than that share of their judged labels; without judged labels they are no case."""
+    """Annotators who agree with the majority in less than that share of their judged labels; without judged labels they are no case.
+
+    The consensus that is asked for here is the majority of three or more, so the record against the start of the iteration counts, not that
+    against its end, in which a few sound annotators may have outvoted many poor ones.
+    """
     return annotators.filter(F.col("n_agree") * 100 < F.col("n_judged") * below_percent).select("user_id")

@@ -1,3 +1,4 @@
+import random
 from datetime import datetime
 
 import pytest
@@ -54,6 +55,27 @@ def test_sixty_percent_is_enough(spark):
     assert [r.user_id for r in consensus.unreliable(run(spark, rows)[2]).collect()] == ["e"]
 
 
+def test_end_of_the_iteration(spark):
+    """Labels stay the same from round to round, and weights are those of the labels that are returned."""
+    rnd = random.Random(4)
+    rows = [state(f"u{k}", {str(i): "YNU"[(i + (rnd.random() < k / 12) * rnd.randrange(3)) % 3] for i in range(50) if rnd.random() < 0.5}) for k in range(12)]
+    items, people, _ = run(spark, rows)
+    assert all(r.settled for r in items.values())
+    flat = [(u, int(i), v[0][0][0]) for u, _, _, m in rows for i, v in m.items()]
+    for u, p in people.items():
+        assert p.errors == sum(x == u and items[i].label != v for x, i, v in flat)
+    df = spark.createDataFrame(rows, SCHEMA)
+    stopped = consensus.discover(df, max_rounds=1)[0].collect()
+    assert any(not r.settled for r in stopped) or all(items[r.instance_id].label == r.label for r in stopped)
+
+
+def test_large_sides_are_joined_alike(spark, monkeypatch):
+    rows = [state(u, {str(i): "Y" if i % k else "N" for i in range(30)}) for k, u in enumerate("abcd", 2)]
+    want = run(spark, rows)[:2]
+    monkeypatch.setattr(consensus, "bounded", lambda df: False)
+    assert run(spark, rows)[:2] == want
+
+
 def test_empty_and_clashing(spark):
     items, people = consensus.discover(spark.createDataFrame([], SCHEMA))
     assert items.count() == 0 and people.count() == 0
