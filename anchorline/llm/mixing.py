@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from anchorline.operators.skew import safe_join
 from anchorline.session import broadcast_if_bounded, cut, parallelism, pick
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -47,13 +48,19 @@ def token_counts(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     return rows.mapInPandas(count, "doc_id bigint, source string, n_tokens bigint")
 
 
+def char_counts(docs: DataFrame) -> DataFrame:
+    """(doc_id, source, n_tokens) as token_counts, each character being a token."""
+    rows = pick(docs, "doc_id", "source", "text").filter(F.col("source").isNotNull())
+    return rows.select("doc_id", clean_source(F.col("source")).alias("source"), F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_tokens"))
+
+
 def prefix_sums(tokens: DataFrame, seed: int = 8) -> DataFrame:
     """(doc_id, source, n_tokens, upto): upto is the number of tokens of the source up to and with the document, in hash order.
 
     The rows are written once (cut), because a range shuffle that is recomputed may draw other bounds.
     """
     parts = parallelism(tokens.sparkSession)
-    keyed = tokens.withColumn("key", F.xxhash64("doc_id", F.lit(seed)))
+    keyed = tokens.withColumn("key", F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), F.lit(str(seed)))))
     ordered = keyed.repartitionByRange(parts, "source", "key", "doc_id").sortWithinPartitions("source", "key", "doc_id").withColumn("pid", F.spark_partition_id())
 
     def running(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -102,8 +109,8 @@ def plan_mix(tokens: DataFrame, targets: DataFrame, totals: DataFrame | None = N
 
 def compose(places: DataFrame, plan: DataFrame) -> DataFrame:
     """(mix_id, doc_id, source, n_tokens, n_repeats) of the documents that a mix takes; n_repeats never exceeds max_repeats."""
-    by = broadcast_if_bounded(plan.select("mix_id", clean_source(F.col("source")).alias("source"), "passes", "rest").filter("passes > 0 or rest > 0"))
-    taken = places.join(by, "source").withColumn("n_repeats", F.col("passes") + (F.col("upto") <= F.col("rest")).cast("int"))
+    by = plan.select("mix_id", clean_source(F.col("source")).alias("source"), "passes", "rest").filter("passes > 0 or rest > 0")
+    taken = safe_join(places, by, "source").withColumn("n_repeats", F.col("passes") + (F.col("upto") <= F.col("rest")).cast("int"))
     return taken.filter("n_repeats > 0").select("mix_id", "doc_id", "source", "n_tokens", "n_repeats")
 
 

@@ -113,20 +113,31 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return consensus.unreliable(consensus.discover(read_table(spark, d, "user_state"))[1])
 
 
-@query()
+def _rounds(n: int) -> str:
+    """n rounds of truth discovery from the majority; once labels stay the same, further rounds change nothing."""
+    low = "least_n * power(greatest(0.05, 1 - 2.0 / (9.0 * least_n) - 1.959963984540054 * sqrt(2.0 / (9.0 * least_n))), 3)".replace("least_n", "count(*)")
+    out = """, m as materialized (select c.instance_id, c.n_labels, majority, (select sum(n * (n - 1)) from v where v.instance_id = c.instance_id) / nullif(c.n_labels * (c.n_labels - 1), 0) pair_agreement from c join t using (instance_id)),
+s0 as materialized (select instance_id, majority as label from m)"""
+    for k in range(1, n + 1):
+        out += f""", w{k} as materialized (select user_id, cast(round({low} / (count_if(l.label <> s.label) + 0.5), 6) as decimal(18,6)) w from l join s{k - 1} s using (instance_id) group by user_id),
+s{k} as materialized (select instance_id, arg_max(label, {{'w': w, 'label': label}}) as label, cast(max(w) as double) / cast(sum(w) as double) confidence from (select instance_id, label, sum(w) w from l join w{k} using (user_id) group by all) group by 1)"""
+    return out
+
+
+@query(_LABELS + _rounds(12) + "select instance_id, label, cast(n_labels as bigint) n_labels, confidence, pair_agreement, majority from s12 join m using (instance_id)")
 def p5_items(spark: SparkSession, d: str) -> DataFrame:
     """The consensus label of each instance with its confidence and agreement."""
-    return consensus.discover(read_table(spark, d, "user_state"))[0]
+    return consensus.discover(read_table(spark, d, "user_state"))[0].drop("settled")
 
 
 @query(_LABELS + """select user_id, count(*) n_labels, count(majority) n_judged, cast(coalesce(sum(cast(label = majority as int)), 0) as bigint) n_agree
 from l join t using (instance_id) group by user_id""")
 def p5_annotators(spark: SparkSession, d: str) -> DataFrame:
     """Counts behind each annotator's reliability."""
-    return consensus.discover(read_table(spark, d, "user_state"))[1].drop("weight")
+    return consensus.discover(read_table(spark, d, "user_state"))[1].drop("weight", "errors")
 
 
-@query()
+@query(_LABELS + _rounds(12) + "select user_id, cast(w as double) weight from w12")
 def p5_weights(spark: SparkSession, d: str) -> DataFrame:
     """Each annotator's reliability weight."""
     return consensus.discover(read_table(spark, d, "user_state"))[1].select("user_id", "weight")
@@ -150,15 +161,20 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return splits.groups(read_table(spark, d, "instances")).filter("group_size > 1").select("instance_id", "group_id")
 
 
-@query()
+_SPLITS = """, g as (select c.instance_id, c.group_id, count(*) over (partition by c.group_id) group_size from c),
+h as (select g.*, split, -weight / ln((cast('0x' || substr(md5(group_id || ':' || split || ':6'), 1, 13) as bigint) + 0.5) / 4503599627370496.0) score from g, (values ('train', 0.8), ('validation', 0.1), ('test', 0.1)) t(split, weight))
+select instance_id, group_id, group_size, arg_max(split, score) as split from h group by all"""
+
+
+@query(_GROUPS.replace("h as (select k,", "hh as (select k,").replace("join h using", "join hh using") + _SPLITS)
 def p6_splits(spark: SparkSession, d: str) -> DataFrame:
     """The split of each instance."""
     return splits.assign(splits.groups(read_table(spark, d, "instances")))
 
 
-def _mix(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def _mix(spark: SparkSession, d: str, sizes: Callable[[DataFrame], DataFrame] = mixing.token_counts) -> tuple[DataFrame, DataFrame]:
     """(places, plan), the sources' sizes being taken from the places."""
-    tokens = mixing.token_counts(read_table(spark, d, "documents"))
+    tokens = sizes(read_table(spark, d, "documents"))
     places = cut(mixing.prefix_sums(cut(tokens)))
     return places, cut(mixing.plan_mix(places, read_table(spark, d, "source_targets"), cut(mixing.source_totals(places))))
 
@@ -172,8 +188,8 @@ r as (select distinct mix_id, s.source, target_share * budget_frac * (select sum
 
 @query(_MIX + "select mix_id, source from r where have < budget")
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    """Sources that can't fill their share of a mix, by the prefix sums that the corpus is cut by. The SQL counts characters: any size measure gives the same rows."""
-    return _mix(spark, d)[1].filter("short").select("mix_id", "source")
+    """Sources that can't fill their share of a mix, from the report on the composed corpora. The SQL counts characters: any size measure gives the same rows."""
+    return p8_report(spark, d).filter("short").select("mix_id", "source")
 
 
 @query()
@@ -189,6 +205,30 @@ def p8_corpus(spark: SparkSession, d: str) -> DataFrame:
     return mixing.compose(*_mix(spark, d))
 
 
+_COMPOSED = f"""
+with d as (select doc_id, lower({_TRIM.format("source")}) s, coalesce(length(text), 0) n from documents where source is not null),
+p as (select *, sum(n) over (partition by s order by md5(doc_id || ':8'), doc_id rows unbounded preceding) upto from d), t as (select s, sum(n) n from d group by s),
+r as (select distinct mix_id, source, target_share, target_share * budget_frac * (select sum(n) from t) budget, coalesce(n, 0) have, coalesce(max_repeats, 1) reps from source_targets x left join t on lower({_TRIM.format("x.source")}) = t.s),
+k as (select *, have * reps < budget short, case when have = 0 then 0 when have * reps < budget then reps else least(reps, floor(budget / have)) end passes from r),
+plan as (select *, case when have = 0 or short or passes >= reps then 0 else floor(budget - passes * have) end rest from k),
+corpus as (select mix_id, doc_id, p.s source, p.n n_tokens, cast(passes + (upto <= rest)::int as int) n_repeats from plan join p on p.s = lower({_TRIM.format("plan.source")}) where passes + (upto <= rest)::int > 0)
+"""
+
+
+@query(_COMPOSED + "select mix_id, doc_id, source, n_tokens, n_repeats from corpus")
+def p8_corpus_by_characters(spark: SparkSession, d: str) -> DataFrame:
+    """The same with sizes in characters, which SQL can count."""
+    return mixing.compose(*_mix(spark, d, mixing.char_counts))
+
+
+@query(_COMPOSED + f"""select mix_id, source, target_share, budget, cast(coalesce(got, 0) as bigint) tokens, coalesce(got / nullif(sum(got) over (partition by mix_id), 0), 0.0) reached_share, short
+from plan left join (select mix_id, source cs, sum(n_tokens * n_repeats) got from corpus group by all) g using (mix_id) where cs = lower({_TRIM.format("plan.source")})
+union all select mix_id, source, target_share, budget, 0, 0.0, short from plan where (mix_id, lower({_TRIM.format("plan.source")})) not in (select (mix_id, source) from corpus)""")
+def p8_report_by_characters(spark: SparkSession, d: str) -> DataFrame:
+    places, plan = _mix(spark, d, mixing.char_counts)
+    return mixing.mix_report(cut(mixing.compose(places, plan)), plan)
+
+
 @query()
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents that hold at least half of a test item."""
