@@ -7,11 +7,11 @@ split depends on its own number and the weights only.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from anchorline.operators.skew import skew_join
-from anchorline.session import cut, pick
+from anchorline.operators.skew import plan_load, skew_join
+from anchorline.session import cut, pick, release
 
 SPLITS = {"train": 0.8, "validation": 0.1, "test": 0.1}
 
@@ -42,10 +42,14 @@ def hash_to_min(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     mark = F.struct(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.xxhash64("v", "u").cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)")).alias("h"))
     before = state.agg(mark).first()[0]
     for _ in range(max_rounds):
-        least = state.groupBy("v").agg(F.min("u").alias("m"))
-        told = skew_join(state, least, "v")
+        plan = plan_load(state, "v", total=before["n"])
+        if plan.heavy:
+            told = skew_join(state, state.groupBy("v").agg(F.min("u").alias("m")), "v", plan=plan)
+        else:  # no cluster is above a task's share
+            told = state.withColumn("m", F.min("u").over(Window.partitionBy("v")))
         # the least node learns the cluster, the cluster's nodes learn the least node
-        state = cut(told.select(F.explode(F.array(F.struct(F.col("m").alias("v"), F.col("u")), F.struct(F.col("u").alias("v"), F.col("m").alias("u")))).alias("x")).select("x.*").distinct())
+        old, state = state, cut(told.select(F.explode(F.array(F.struct(F.col("m").alias("v"), F.col("u")), F.struct(F.col("u").alias("v"), F.col("m").alias("u")))).alias("x")).select("x.*").distinct())
+        release(old)
         now = state.agg(mark).first()[0]
         if now == before:
             return state.groupBy(F.col("v").alias("node")).agg(F.min("u").alias("component"))
@@ -76,7 +80,8 @@ def rendezvous(key: Column, weights: dict[str, float], seed: int = 6) -> Column:
     scores = []
     for name, weight in sorted(weights.items()):
         if weight > 0:
-            h = (F.pmod(F.xxhash64(key, F.lit(name), F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+            digits = F.substring(F.md5(F.concat_ws(":", key.cast("string"), F.lit(name), F.lit(str(seed)))), 1, 13)
+            h = (F.conv(digits, 16, 10).cast("double") + 0.5) / float(1 << 52)
             scores.append(F.struct((F.lit(-float(weight)) / F.log(h)).alias("score"), F.lit(name).alias("name")))
     return (F.greatest(*scores) if len(scores) > 1 else scores[0])["name"]
 
