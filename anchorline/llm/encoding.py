@@ -11,6 +11,7 @@ UTF-8 read in a one-byte encoding turns into runs again, so that a new word is f
 
 from __future__ import annotations
 
+import codecs
 import hashlib
 import html
 import re
@@ -51,25 +52,25 @@ _ENDS = ".,;:()[]'\"*|{}=<>!?"
 _CONTROLS = dict.fromkeys(range(0x80, 0xA0))
 
 
-def _table(encoding: str, hole: str) -> dict[int, str | None]:
-    """How each byte reads in a one-byte encoding. hole: what a byte without a meaning becomes."""
-    out: dict[int, str | None] = {}
+def _table(encoding: str, hole: str) -> str:
+    """How each byte reads in a one-byte encoding. hole: what a byte without a meaning becomes; U+FFFE stands for nothing."""
+    out = []
     for b in range(256):
         try:
-            out[b] = bytes([b]).decode(encoding)
+            out.append(bytes([b]).decode(encoding))
         except UnicodeDecodeError:
-            out[b] = {"kept": chr(b), "marked": "�", "lost": None}[hole]
-    return out
+            out.append({"kept": chr(b), "marked": "�", "lost": "\ufffe"}[hole])
+    return "".join(out)
 
 
-#: The bytes without a meaning in an encoding.
-_HOLES = {e: frozenset(b for b, c in _table(e, "lost").items() if c is None) for e in ONE_BYTE}
 _TABLES = {(e, h): _table(e, h) for e in ONE_BYTE for h in ("kept", "marked", "lost")}
-_BACK = {e: {v: chr(b) for b, v in _TABLES[e, "kept"].items() if v} for e in ONE_BYTE}
+#: The bytes without a meaning in an encoding.
+_HOLES = {e: frozenset(b for b, c in enumerate(_TABLES[e, "lost"]) if c == "\ufffe") for e in ONE_BYTE}
+_BACK = {e: {v: chr(b) for b, v in enumerate(_TABLES[e, "kept"])} for e in ONE_BYTE}
 
 
 def _read(data: bytes, encoding: str, hole: str) -> str:
-    return data.decode("latin-1").translate(_TABLES[encoding, hole])
+    return codecs.charmap_decode(data, "ignore", _TABLES[encoding, hole])[0]
 
 
 def _wordlike(form: str) -> bool:
@@ -92,21 +93,28 @@ def readings(word: str) -> Iterator[tuple[str, str, bool]]:
     spaces lost afterwards; another encoding read as UTF-8; and one encoding read as another.
     """
     data = word.encode("utf-8", "surrogatepass")
+    once = set()
     for e in ONE_BYTE:
         for g, hole in _readings(data, e):
             yield g, f"utf-8>{e}", hole != "lost"
             again = g.encode("utf-8", "surrogatepass")
-            for e2 in dict.fromkeys((*TWICE, e)):
+            second = (e,) if g in once else dict.fromkeys((*TWICE, e))  # encodings that read the word alike
+            once.add(g)
+            for e2 in second:
                 yield _read(again, e2, hole), f"utf-8>{e}>{e2}", hole != "lost"
     for e in ONE_BYTE:
         g = _read(data, e, "kept")
         yield g.translate(_CONTROLS), f"utf-8>{e}, controls lost", False
         yield g.replace("\xa0", ""), f"utf-8>{e}, spaces lost", False
+    written = set()
     for source in (*ONE_BYTE, *MULTI_BYTE):
         try:
             own = word.encode(source)
         except UnicodeEncodeError:
             continue
+        if own in written:  # encodings that write the word alike
+            continue
+        written.add(own)
         g = own.decode("utf-8", "replace")
         if "�" in g:  # what UTF-8 can read without loss is the original, and word its garbled form
             yield g, f"{source}>utf-8", len(word) > 2
@@ -225,17 +233,21 @@ def garble_table(vocab: DataFrame) -> DataFrame:
 
     def forms(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bits = held.value
+        mask, hashed = len(bits) * 8 - 1, xxhash.xxh64_intdigest
         columns = ["key", "origin", "n_origin", "n_origin_texts", "chain", "ratio", "alone", "strong"]
         for pdf in frames:
             rows = []
             for word, n, m in zip(pdf["word"], pdf["n_docs"], pdf["n_texts"], strict=True):
                 seen = set()
                 for g, chain, certain in readings(word):
+                    if g in seen or g.isascii():
+                        continue
+                    if len(g) <= LONG:  # forms of longer words aren't held together
+                        seen.add(g)
                     key = join_key(g)
-                    if key not in seen and _may_be(key, bits):
-                        seen.add(key)
-                        if how := _judged(word, g, chain, certain):
-                            rows.append((key, word, n, m, *how))
+                    h = hashed(key.encode("utf-8", "surrogatepass"), 42) & mask  # as in _may_be
+                    if bits[h >> 3] >> (h & 7) & 1 and (how := _judged(word, g, chain, certain)):
+                        rows.append((key, word, n, m, *how))
             yield pd.DataFrame(rows, columns=columns)
 
     # words are handed out evenly: one word has a thousand forms
