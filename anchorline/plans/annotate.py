@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from anchorline.operators.quantiles import quantiles
+from anchorline.session import broadcast_if_bounded
+
 
 def labels(states: DataFrame) -> DataFrame:
     """One label per annotator and instance: value[0][0].name as given; annotators without an id go by their folder.
@@ -40,13 +43,17 @@ def fragile(voted: DataFrame) -> DataFrame:
     return voted.filter(F.col("is_multi") & (F.col("margin") <= 1)).select("instance_id", "n_votes", "margin")
 
 
-def rates(long: DataFrame) -> DataFrame:
-    """Per annotator: counts, YES and NO rates in percent (one decimal), and their signed gap to the pooled rate."""
+def rates(long: DataFrame, digits: int | None = 1) -> DataFrame:
+    """Per annotator: counts, YES and NO rates in percent, and their signed gap to the pooled rates: bias_yes, bias_no.
+
+    With digits the rates are rounded, and the gap of the rounded rate to the unrounded pooled one is rounded again; None leaves all as they are.
+    """
     per = long.groupBy("annotator").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("label") == "YES").alias("yes"), F.count_if(F.col("label") == "NO").alias("no"))
-    pooled = long.agg(F.count(F.lit(1)), F.count_if(F.col("label") == "YES"), F.count_if(F.col("label") == "NO")).first()
-    n = max(pooled[0], 1)
-    out = per.withColumn("yes_rate", F.bround(100 * F.col("yes") / F.col("n"), 1)).withColumn("no_rate", F.bround(100 * F.col("no") / F.col("n"), 1))
-    return out.withColumn("bias_yes", F.bround(F.col("yes_rate") - F.lit(100 * pooled[1] / n), 1)).withColumn("bias_no", F.bround(F.col("no_rate") - F.lit(100 * pooled[2] / n), 1))
+    pooled = per.agg(F.sum("n"), F.sum("yes"), F.sum("no")).first()
+    n = max(pooled[0] or 0, 1)
+    rounded = (lambda c: c) if digits is None else (lambda c: F.bround(c, digits))
+    out = per.withColumn("yes_rate", rounded(100 * F.col("yes") / F.col("n"))).withColumn("no_rate", rounded(100 * F.col("no") / F.col("n")))
+    return out.withColumn("bias_yes", rounded(F.col("yes_rate") - F.lit(100 * (pooled[1] or 0) / n))).withColumn("bias_no", rounded(F.col("no_rate") - F.lit(100 * (pooled[2] or 0) / n)))
 
 
 def label_table(long: DataFrame) -> DataFrame:
@@ -78,8 +85,35 @@ def kappa(pairs: DataFrame, by: list[str]) -> DataFrame:
     return out.select(*by, "n_common", value.alias("kappa"))
 
 
+def kappa_matrix(agreement: DataFrame, long: DataFrame) -> DataFrame:
+    """(a, b, kappa) in both directions with 1 on the diagonal; agreement as from kappa by a and b."""
+    there = agreement.select("a", "b", "kappa")
+    back = agreement.select(F.col("b").alias("a"), F.col("a").alias("b"), "kappa")
+    own = long.select("annotator").filter("annotator is not null").distinct().select(F.col("annotator").alias("a"), F.col("annotator").alias("b"), F.lit(1.0).alias("kappa"))
+    return there.unionByName(back).unionByName(own)
+
+
+def to_items(long: DataFrame, items: DataFrame) -> DataFrame:
+    """long with the columns of its items, which have unique instance_ids; raises KeyError if a label belongs to no item."""
+    lost = long.join(items.select("instance_id"), "instance_id", "left_anti").select("instance_id").limit(1).collect()
+    if lost:
+        raise KeyError(lost[0]["instance_id"])
+    return long.join(items, "instance_id")
+
+
+def overview(voted: DataFrame) -> DataFrame:
+    """(measure, value, n, rate): YES votes among YES and NO votes overall, then the instances of each majority and each category, nulls being left out."""
+    total = voted.agg(F.coalesce(F.sum("n_yes"), F.lit(0)).alias("n"), F.try_divide(100.0 * F.sum("n_yes"), F.sum("n_yes") + F.sum("n_no")).alias("rate"))
+    out = total.select(F.lit("yes_rate").alias("measure"), F.lit("all").alias("value"), "n", "rate")
+    for c in ("majority", "category"):
+        one = voted.filter(F.col(c).isNotNull()).groupBy(F.col(c).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+        out = out.unionByName(one.select(F.lit(c).alias("measure"), "value", "n", F.lit(None).cast("double").alias("rate")))
+    return out
+
+
 def confusion(pairs: DataFrame) -> DataFrame:
-    return pairs.groupBy("label_a").pivot("label_b", ["YES", "NO", "UNCERTAIN"]).agg(F.count(F.lit(1))).na.fill(0)
+    """Per pair of annotators and label of the first: how often the second gave each label."""
+    return pairs.groupBy("a", "b", "label_a").pivot("label_b", ["YES", "NO", "UNCERTAIN"]).agg(F.count(F.lit(1))).na.fill(0)
 
 
 def category_summary(voted: DataFrame) -> DataFrame:
@@ -105,24 +139,39 @@ def decision_times(states: DataFrame) -> DataFrame:
 
 
 def cap(times: DataFrame, method: str = "tukey") -> DataFrame:
-    """times with t: t_raw cut at Q3 + 1.5 IQR (tukey), at the 95th percentile (p95), or as it is (none)."""
+    """times with t: t_raw cut at Q3 + 1.5 IQR (tukey), at the 95th percentile (p95), or as it is (none); is_outlier tells what was cut."""
     if method == "none":
-        return times.withColumn("t", F.col("t_raw"))
-    q1, q3, p95 = times.agg(F.expr("percentile(t_raw, 0.25)"), F.expr("percentile(t_raw, 0.75)"), F.expr("percentile(t_raw, 0.95)")).first()
+        return times.withColumn("t", F.col("t_raw")).withColumn("is_outlier", F.lit(False))
+    q1, q3, p95 = quantiles(times, "t_raw", {"q1": 0.25, "q3": 0.75, "p95": 0.95}).first()
     bound = None if q1 is None else (q3 + 1.5 * (q3 - q1) if method == "tukey" else p95)
-    return times.withColumn("t", F.least(F.col("t_raw"), F.lit(bound).cast("double")))
-
-
-def _measures() -> list[Column]:
-    return [F.count("t").alias("n"), F.avg("t").alias("mean"), F.stddev_samp("t").alias("std"), F.expr("percentile(t, 0.5)").alias("median")]
+    limit = F.lit(bound).cast("double")
+    return times.withColumn("t", F.least(F.col("t_raw"), limit)).withColumn("is_outlier", F.coalesce(F.col("t_raw") > limit, F.lit(False)))
 
 
 def timing_summary(times: DataFrame) -> DataFrame:
     """Per annotator and category, per annotator, and overall, the latter two marked ALL; null categories count in the totals only."""
-    name = lambda c: F.when(F.grouping(c) == 1, "ALL").otherwise(F.col(c)).alias(c)
-    sets = times.groupingSets([["annotator", "category"], ["annotator"], []], "annotator", "category").agg(*_measures(), F.grouping("category").alias("gc"), F.grouping("annotator").alias("ga"))
-    out = sets.filter((F.col("gc") == 1) | F.col("category").isNotNull())
-    return out.select(F.when(F.col("ga") == 1, "ALL").otherwise(F.col("annotator")).alias("annotator"), F.when(F.col("gc") == 1, "ALL").otherwise(F.col("category")).alias("category"), "n", "mean", "std", "median")
+    who, what, every = F.col("annotator").alias("annotator"), F.col("category").alias("category"), F.lit("ALL")
+    levels = F.array(F.struct(F.lit(0).alias("level"), who, what), F.struct(F.lit(1).alias("level"), who, every.alias("category")), F.struct(F.lit(2).alias("level"), every.alias("annotator"), every.alias("category")))
+    rows = times.select("t", F.explode(levels).alias("k")).select("t", "k.*").filter((F.col("level") > 0) | F.col("category").isNotNull())
+    keys = ["level", "annotator", "category"]
+    plain = rows.groupBy(*keys).agg(F.count("t").alias("n"), F.avg("t").alias("mean"), F.stddev_samp("t").alias("std"))
+    middle = quantiles(rows, "t", {"median": 0.5}, keys)
+    same = [F.col(f"p.{k}").eqNullSafe(F.col(f"m.{k}")) for k in keys]
+    out = plain.alias("p").join(middle.alias("m"), same, "left").select("p.annotator", "p.category", "n", "mean", "std", "median")
+    # the overall row is there for an empty table too
+    return out if not times.isEmpty() else times.agg(F.lit("ALL").alias("annotator"), F.lit("ALL").alias("category"), F.count("t").alias("n"), F.avg("t").alias("mean"), F.stddev_samp("t").alias("std"), F.avg("t").alias("median"))
+
+
+def box_stats(times: DataFrame, by: list[str]) -> DataFrame:
+    """Per group of non-null keys: n, mean, std, quartiles, the whiskers (the least and the largest time within 1.5 IQR of the quartiles) and the maximum."""
+    rows = times.filter(F.col("t").isNotNull()).dropna(subset=by)
+    quarts = quantiles(rows, "t", {"q1": 0.25, "median": 0.5, "q3": 0.75}, by)
+    reach = 1.5 * (F.col("q3") - F.col("q1"))
+    near = rows.join(broadcast_if_bounded(quarts), by)
+    inside = F.col("t").between(F.col("q1") - reach, F.col("q3") + reach)
+    return near.groupBy(*by, "q1", "median", "q3").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("t").alias("mean"), F.stddev_samp("t").alias("std"), F.min(F.when(inside, F.col("t"))).alias("whisker_low"), F.max(F.when(inside, F.col("t"))).alias("whisker_high"), F.max("t").alias("max")
+    )
 
 
 def timing_matrix(times: DataFrame, categories: list[str]) -> DataFrame:

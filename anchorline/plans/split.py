@@ -61,6 +61,15 @@ def categories_ok(categories: Column, rules: SplitRules) -> Column:
     return ok
 
 
+def in_categories(entries: DataFrame, include: DataFrame | None = None, exclude: DataFrame | None = None) -> DataFrame:
+    """categories_ok for lists of categories that are tables (category): entries in one of include and in none of exclude."""
+    held = entries.select("entry_id", F.explode("categories").alias("category")).distinct()
+    for names, how in ((include, "left_semi"), (exclude, "left_anti")):
+        if names is not None:
+            entries = entries.join(held.join(names.select("category").distinct(), "category", "left_semi").select("entry_id").distinct(), "entry_id", how)
+    return entries
+
+
 def entity_ok(rules: SplitRules, name: Column | None = None) -> Column:
     """A real name, a text or portrait (each of them where required), and a wanted type."""
     intro, portrait = S.filled(F.col("intro")), S.filled(F.col("infobox_img"))
@@ -178,9 +187,17 @@ def judged_pairs(s: Scan, rules: SplitRules, edges: DataFrame | None = None) ->
     texts = pool.select("entry_id", "qid").distinct().join(types, "qid").groupBy("entry_id").agg(
         F.array_sort(F.collect_set("qid")).alias("text_candidates"), F.collect_list(F.struct("qid", "type")).alias("typed")
     )
-    visual = visual_pools(s)
+    # pools are put together for images that qualify only, and only if they aren't too large: a sign that everybody uses never becomes an array
+    shown = s.uses.select("url", "qid").distinct().join(pairs.select("url").distinct(), "url", "left_semi")
+    if rules.max_visual:
+        sizes = shown.groupBy("url").agg(F.count(F.lit(1)).alias("n_visual"))
+        small = shown.join(sizes.filter(F.col("n_visual") <= rules.max_visual), "url", "left_semi")
+        visual = sizes.join(small.groupBy("url").agg(F.array_sort(F.collect_set("qid")).alias("visual_candidates")), "url", "left")
+    else:
+        small = shown
+        visual = shown.groupBy("url").agg(F.array_sort(F.collect_set("qid")).alias("visual_candidates")).withColumn("n_visual", F.size("visual_candidates"))
     if rules.unique_portraits:
-        faces = s.uses.select("url", "qid").distinct().join(portraits(s.kb), "qid")
+        faces = small.join(portraits(s.kb), "qid")
         visual = visual.join(faces.groupBy("url").agg(have_repeat(F.collect_list("portrait")).alias("alike")), "url", "left")
     else:
         visual = visual.withColumn("alike", F.lit(False))
@@ -191,7 +208,7 @@ def judged_pairs(s: Scan, rules: SplitRules, edges: DataFrame | None = None) ->
     if rules.share_type:
         lonely = F.size(F.filter("typed", lambda t: t["type"] == kind)) < 2
     reason = (
-        F.when(~size_ok(F.size("visual_candidates"), rules.min_visual, rules.max_visual), "visual_pool")
+        F.when(~size_ok(F.col("n_visual"), rules.min_visual, rules.max_visual), "visual_pool")
         .when(F.coalesce("alike", F.lit(False)), "visual_portrait")
         .when(F.size("common") != 1, "intersection")
         .when(lonely, "type_not_shared")
@@ -209,9 +226,3 @@ def instances(s: Scan, rules: SplitRules, edges: DataFrame | None = None) -> Dat
 
 def cascade(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
-
-
-def first_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Whole first rows by a window, for wide rows whose keys have few rows each."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("__rn", F.row_number().over(w)).filter("__rn = 1").drop("__rn")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from anchorline.functions import strings as S
+from anchorline.operators.quantiles import quantiles
 from anchorline.session import cut
 
 
@@ -27,6 +28,23 @@ def category_frequency(entries: DataFrame, least: int = 1) -> DataFrame:
     return rows.groupBy(S.strip_category_prefix(F.col("category")).alias("category")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least).withColumn("percent", 100.0 * F.col("n") / F.lit(total))
 
 
+def category_totals(entries: DataFrame) -> DataFrame:
+    """One row: entries, those without any category and their share in percent, and the number of categories."""
+    held = F.filter(F.coalesce("categories", F.array().cast("array<string>")), lambda c: c.isNotNull())
+    one = entries.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.size(held) == 0).alias("uncategorised"))
+    names = entries.select(F.explode(held).alias("c")).select(S.strip_category_prefix(F.col("c")).alias("c")).distinct().agg(F.count(F.lit(1)).alias("n_categories"))
+    return one.withColumn("n_categories", F.lit(names.first()[0])).select("n", "uncategorised", F.coalesce(F.try_divide(100.0 * F.col("uncategorised"), F.col("n")), F.lit(0.0)).alias("uncategorised_pct"), "n_categories")
+
+
+def list_stage(df: DataFrame, lists: list[str], texts: list[str]) -> DataFrame:
+    """Per column the rows, the share in percent that isn't empty, and the mean length of lists (null for texts), rows without a list counting as 0."""
+    size = lambda c: F.size(F.coalesce(F.col(c), F.array().cast(df.schema[c].dataType)))
+    parts = [F.struct(F.lit(c).alias("stage"), (size(c) > 0).alias("held"), size(c).cast("double").alias("size")) for c in lists]
+    parts += [F.struct(F.lit(c).alias("stage"), S.filled(F.col(c)).alias("held"), F.lit(None).cast("double").alias("size")) for c in texts]
+    rows = df.select(F.explode(F.array(*parts)).alias("x")).select("x.*")
+    return rows.groupBy("stage").agg(F.count(F.lit(1)).alias("n"), (100.0 * F.count_if("held") / F.count(F.lit(1))).alias("held_pct"), F.avg("size").alias("mean_size"))
+
+
 def completeness(kb: DataFrame) -> DataFrame:
     """One row: entities and the percentage that have each text or list; nulls for an empty table."""
     share = lambda c: F.try_divide(100.0 * F.count_if(c), F.count(F.lit(1)))
@@ -38,10 +56,13 @@ def completeness(kb: DataFrame) -> DataFrame:
 
 
 def summary(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
-    """Long form: one row per measure with count, mean, median, maximum and distinct values of the non-null values."""
+    """Long form: one row per measure with count, mean, median, maximum and distinct values of the non-null values. The median is exact."""
     stacked = df.select(F.explode(F.array(*[F.struct(F.lit(k).alias("measure"), c.cast("double").alias("value")) for k, c in columns.items()])).alias("m")).select("m.*")
     v = F.col("value")
-    return stacked.groupBy("measure").agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.expr("percentile(value, 0.5)").alias("median"), F.max(v).alias("max"), F.count_distinct(v).alias("n_distinct"))
+    values = stacked.groupBy("measure", "value").agg(F.count(v).alias("n"), F.sum(v).alias("s"))
+    plain = values.groupBy("measure").agg(F.sum("n").alias("n"), F.try_divide(F.sum("s"), F.sum("n")).alias("mean"), F.max(v).alias("max"), F.count(v).alias("n_distinct"))
+    middle = quantiles(stacked, "value", {"median": 0.5}, ["measure"])
+    return plain.join(middle, "measure", "left").select("measure", "n", "mean", "median", "max", "n_distinct")
 
 
 def bucket(c: Column, edges: list[tuple[int, int | None, str]]) -> Column:
@@ -62,7 +83,7 @@ def histogram(df: DataFrame, value: str, low: float, high: float, bins: int, cli
     """(bin, n): bins are closed below and open above but for the last; values outside aren't counted, nor those beyond the percentile."""
     rows = df.select(F.col(value).cast("double").alias("v")).filter(F.col("v").isNotNull())
     if clip_percentile is not None:
-        bound = rows.agg(F.expr(f"percentile(v, {clip_percentile})").alias("b")).first()["b"]
+        bound = quantiles(rows, "v", {"b": clip_percentile}).first()["b"]
         rows = rows.filter(F.col("v") <= F.lit(bound))
     width = (high - low) / bins
     at = F.least(F.floor((F.col("v") - low) / width), F.lit(bins - 1)).cast("int")

@@ -54,13 +54,13 @@ def label_counts(spark: SparkSession, d: str) -> DataFrame:
     return annotate.label_table(_long(spark, d))
 
 
-@query(_LONG + """, g as (select cast(count_if(label = 'YES') as double) * 100 / count(*) gy, cast(count_if(label = 'NO') as double) * 100 / count(*) gn from long)
-select annotator, count(*) n, cast(count_if(label = 'YES') as bigint) yes, cast(count_if(label = 'NO') as bigint) as no, abs(100 * count_if(label = 'YES') / count(*) - gy) gap_yes from long, g group by annotator, gy""")
+_PER = """, per as (select annotator, count(*) n, cast(count_if(label = 'YES') as bigint) yes, cast(count_if(label = 'NO') as bigint) as no from long group by 1), g as (select sum(n) n, sum(yes) yes, sum(no) as no from per)"""
+
+
+@query(_LONG + _PER + " select annotator, per.n n, per.yes yes, per.no as no, 100 * per.yes / per.n yes_rate, 100 * per.no / per.n no_rate, 100 * per.yes / per.n - 100 * g.yes / g.n bias_yes, 100 * per.no / per.n - 100 * g.no / g.n bias_no from per, g")
 def rates_and_bias(spark: SparkSession, d: str) -> DataFrame:
-    """Counts behind the rates and the unrounded gap to the pooled rate; rounding differs between engines in exact ties."""
-    long = _long(spark, d)
-    pooled = long.agg((100 * F.count_if(F.col("label") == "YES") / F.count(F.lit(1))).alias("g")).first()["g"]
-    return annotate.rates(long).select("annotator", "n", "yes", "no", F.abs(100 * F.col("yes") / F.col("n") - F.lit(pooled)).alias("gap_yes"))
+    """Rates of each annotator and their signed gap to the pooled ones, unrounded: engines differ in exact ties."""
+    return annotate.rates(_long(spark, d), None)
 
 
 _KAPPA = """, s as (select x.instance_id instance_id, x.annotator a, y.annotator b, x.label la, y.label lb{extra} from long x join long y on x.instance_id = y.instance_id and x.annotator < y.annotator{join}),
@@ -78,18 +78,41 @@ def cohen_kappa(spark: SparkSession, d: str) -> DataFrame:
     return annotate.kappa(annotate.shared(_long(spark, d)), ["a", "b"]).withColumn("band", kappa_band(F.col("kappa")))
 
 
-@query(_LONG + _KAPPA.format(by="category", extra=", category", join=" join cats on cats.instance_id = x.instance_id and category is not null") + "select category, n_common, kappa from k")
+@query(_LONG + _KAPPA.format(by="a, b", extra="", join="") + "select a, b, kappa from k union all select b, a, kappa from k union all select distinct annotator, annotator, 1.0 from long where annotator is not null")
+def kappa_matrix(spark: SparkSession, d: str) -> DataFrame:
+    long = _long(spark, d)
+    return annotate.kappa_matrix(annotate.kappa(annotate.shared(long), ["a", "b"]), long)
+
+
+@query(_LONG + _KAPPA.format(by="a, b, category", extra=", category", join=" join cats on cats.instance_id = x.instance_id and category is not null") + "select a, b, category, n_common, kappa from k")
 def kappa_per_category(spark: SparkSession, d: str) -> DataFrame:
+    """Agreement of each pair of annotators in each category."""
     long = _long(spark, d).join(_categories(spark, d).filter("category is not null"), "instance_id")
-    return annotate.kappa(annotate.shared(long, "category"), ["category"])
+    return annotate.kappa(annotate.shared(long, "category"), ["a", "b", "category"])
 
 
-@query(_LONG + """select x.label label_a, cast(count_if(y.label = 'YES') as bigint) "YES", cast(count_if(y.label = 'NO') as bigint) "NO", cast(count_if(y.label = 'UNCERTAIN') as bigint) "UNCERTAIN"
-from long x join long y on x.instance_id = y.instance_id and x.annotator < y.annotator group by 1""")
+@query(_LONG + """select x.annotator a, y.annotator b, x.label label_a, cast(count_if(y.label = 'YES') as bigint) "YES", cast(count_if(y.label = 'NO') as bigint) "NO", cast(count_if(y.label = 'UNCERTAIN') as bigint) "UNCERTAIN"
+from long x join long y on x.instance_id = y.instance_id and x.annotator < y.annotator group by all""")
 def confusion(spark: SparkSession, d: str) -> DataFrame:
     return annotate.confusion(annotate.shared(_long(spark, d)))
 
 
+@query(_LONG + """, x as (select voted.*, category from voted left join cats using (instance_id))
+select 'yes_rate' measure, 'all' as value, cast(sum(n_yes) as bigint) n, 100.0 * sum(n_yes) / nullif(sum(n_yes) + sum(n_no), 0) rate from x
+union all select 'majority', majority, count(*), null from x group by majority union all select 'category', category, count(*), null from x where category is not null group by category""")
+def vote_overview(spark: SparkSession, d: str) -> DataFrame:
+    """The global YES rate and the counts of majorities and categories."""
+    return annotate.overview(annotate.votes(_long(spark, d)).join(_categories(spark, d), "instance_id", "left"))
+
+
+@query(_LONG + """, items as (select cast(instance_id as varchar) instance_id, min(mention) mention, min(answer) answer from instances where instance_id is not null group by 1)
+select annotator, instance_id, label, mention, answer from long join items using (instance_id)""")
+def labels_with_items(spark: SparkSession, d: str) -> DataFrame:
+    """Labels with the item they belong to; one of no item would raise."""
+    items = read_table(spark, d, "instances").filter("instance_id is not null").groupBy(F.col("instance_id").cast("string").alias("instance_id")).agg(F.min("mention").alias("mention"), F.min("answer").alias("answer"))
+    return annotate.to_items(_long(spark, d), items)
+
+
 @query(_LONG + """select category, count(*) n, cast(count_if(is_multi) as bigint) n_multi, 100.0 * sum(n_yes) / nullif(sum(n_yes) + sum(n_no), 0) yes_rate,
 100.0 * count_if(is_multi and unanimous) / nullif(count_if(is_multi), 0) agreement from voted join cats using (instance_id) where category is not null group by 1""")
 def category_summary(spark: SparkSession, d: str) -> DataFrame:
@@ -115,9 +138,9 @@ def decision_time(spark: SparkSession, d: str) -> DataFrame:
     return annotate.decision_times(read_table(spark, d, "user_state"))
 
 
-@query(_TIMES + "select annotator, instance_id, t from capped")
+@query(_TIMES + "select annotator, instance_id, t, t_raw > q3 + 1.5 * (q3 - q1) is_outlier from capped, q")
 def winsorize(spark: SparkSession, d: str) -> DataFrame:
-    return annotate.cap(_times(spark, d)).select("annotator", "instance_id", "t")
+    return annotate.cap(_times(spark, d)).select("annotator", "instance_id", "t", "is_outlier")
 
 
 @query(_TIMES + """select case when grouping(annotator) = 1 then 'ALL' else annotator end annotator, case when grouping(category) = 1 then 'ALL' else category end category,
@@ -146,15 +169,17 @@ def first_to_next_event(spark: SparkSession, d: str) -> DataFrame:
     return later.groupBy("user_id").agg(((F.min("us") - F.first("t0")) / 1e6).alias("seconds"))
 
 
-_BOX = ", ".join(f"round(quantile_cont(t, {q}), 6) {n}" for q, n in ((0.25, "q1"), (0.5, "median"), (0.75, "q3")))
+_BOX = ", ".join(f"quantile_cont(t, {q}) {n}" for q, n in ((0.25, "q1"), (0.5, "median"), (0.75, "q3")))
 
 
-@query(_TIMES + f"select category, annotator, count(*) n, round(avg(t), 6) mean, {_BOX}, round(max(t), 6) as max from capped where category is not null group by all")
+@query(_TIMES + f""", bx as (select category, annotator, {_BOX} from capped where category is not null and annotator is not null group by all)
+select category, annotator, count(*) n, round(avg(t), 6) mean, round(stddev_samp(t), 6) std, round(any_value(q1), 6) q1, round(any_value(median), 6) median, round(any_value(q3), 6) q3,
+round(min(case when t >= q1 - 1.5 * (q3 - q1) then t end), 6) whisker_low, round(max(case when t <= q3 + 1.5 * (q3 - q1) then t end), 6) whisker_high, round(max(t), 6) as max
+from capped join bx using (category, annotator) group by all""")
 def time_box_stats(spark: SparkSession, d: str) -> DataFrame:
     """Box statistics of the capped times per category and annotator."""
-    t = annotate.cap(_times(spark, d)).filter("category is not null")
-    box = [F.round(F.expr(f"percentile(t, {q})"), 6).alias(n) for q, n in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))]
-    return t.groupBy("category", "annotator").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("t"), 6).alias("mean"), *box, F.round(F.max("t"), 6).alias("max"))
+    out = annotate.box_stats(annotate.cap(_times(spark, d)), ["category", "annotator"])
+    return out.select("category", "annotator", "n", *[F.round(c, 6).alias(c) for c in ("mean", "std", "q1", "median", "q3", "whisker_low", "whisker_high", "max")])
 
 
 @query(_TIMES + ", p as (select quantile_cont(t_raw, 0.95) b from times) select annotator, instance_id, least(t_raw, b) t from times, p")

@@ -73,6 +73,13 @@ def strict_cascade_counts(spark: SparkSession, d: str) -> DataFrame:
     return split.cascade(split.judged_pairs(_scan(spark, d, STRICT), STRICT))
 
 
+@query(_PAIRS + "select case when len(v) < 2 or len(v) > 3 then 'visual_pool' when len(c) <> 1 then 'intersection' else 'written' end reason, count(*) n from judged group by 1")
+def bounded_cascade_counts(spark: SparkSession, d: str) -> DataFrame:
+    """With pools of at most three entities; larger ones are counted but never put together."""
+    rules = split.SplitRules(max_visual=3)
+    return split.cascade(split.judged_pairs(_scan(spark, d, rules), rules))
+
+
 @query(_SCAN.replace("e.infobox_img infobox_img from raw_e", 'e.infobox_img infobox_img, e."desc" as "desc", e.intro intro, e.url_wikipedia url_wikipedia from raw_e') + """
 select distinct on (qid) qid, name, type, "desc", intro, infobox_img, url_wikipedia from pool order by qid, entry_id, entity_idx""")
 def split_kb(spark: SparkSession, d: str) -> DataFrame:
@@ -111,9 +118,8 @@ and not list_has_any(coalesce(categories, []), (select list(c) from (select c fr
 def category_include_exclude(spark: SparkSession, d: str) -> DataFrame:
     """Entries in a category before M and in none before C."""
     m = read_table(spark, d, "mention_entries")
-    names = [r[0] for r in m.select(F.explode("categories").alias("c")).filter("c < 'M'").distinct().collect()]  # the configured list, a few hundred names
-    rules = split.SplitRules(include=tuple(names), exclude=tuple(n for n in names if n < "C"))
-    return m.filter(split.categories_ok(F.col("categories"), rules)).select("entry_id").distinct()
+    names = m.select(F.explode("categories").alias("category")).distinct()
+    return split.in_categories(m, names.filter("category < 'M'"), names.filter("category < 'C'")).select("entry_id").distinct()
 
 
 @query(f"select qid from (select unnest([e]) e, qid from (select e, e.qid qid from (select entity_kb e from entity_kb))) where qid is not null and {_ENTITY_OK} group by qid")

@@ -24,6 +24,25 @@ def category_frequency(spark: SparkSession, d: str) -> DataFrame:
     return stats.category_frequency(m, 2)
 
 
+@query("""with m as (select entry_id, list_filter(coalesce(any_value(categories), []), lambda c: c is not null) c from mention_entries group by 1)
+select count(*) n, cast(count_if(len(c) = 0) as bigint) uncategorised, 100.0 * count_if(len(c) = 0) / count(*) uncategorised_pct, (select count(distinct regexp_replace(x, '^Category:', '')) from (select unnest(c) x from m)) n_categories from m""")
+def category_totals(spark: SparkSession, d: str) -> DataFrame:
+    """Entries, those without any category, and the number of categories."""
+    return stats.category_totals(read_table(spark, d, "mention_entries").groupBy("entry_id").agg(F.first("categories").alias("categories")))
+
+
+_STAGES = " union all ".join(
+    [f"""select '{c}' stage, count(*) n, 100.0 * count_if(coalesce(len({c}), 0) > 0) / count(*) held_pct, avg(coalesce(len({c}), 0)) mean_size from entity_kb""" for c in ("page_imglist", "commons_imglist")]
+    + [f"""select '{c}', count(*), 100.0 * count_if(coalesce(length({c}), 0) > 0) / count(*), null from entity_kb""" for c in ("intro", "infobox_img")]
+)
+
+
+@query(_STAGES)
+def stage_summaries(spark: SparkSession, d: str) -> DataFrame:
+    """What each stage of collection brought: lists with their mean length, and texts."""
+    return stats.list_stage(read_table(spark, d, "entity_kb"), ["page_imglist", "commons_imglist"], ["intro", "infobox_img"])
+
+
 @query("select nullif(trim(type), '') as type, count(*) n from (select distinct qid, type from entity_kb) group by 1")
 def kb_type_counts(spark: SparkSession, d: str) -> DataFrame:
     """Entities per type, the null type included."""

@@ -39,8 +39,8 @@ def test_against_sql(spark, db, name):
     assert rows == sorted(tuple(plain(r[i]) for i in at) for r in rel.fetchall())
 
 
-def test_clean_mention_all_keeps_every_mention(spark, tmp_path):
+def test_clean_mention_keeps_every_mention(spark, tmp_path):
     rows = ["A\xa0(b)\xa0", "\xa0C", "D (e)", None]
     spark.createDataFrame([(m,) for m in rows], "mention string").write.parquet(str(tmp_path / "instances.parquet"))
-    got = {(r.mention, r.cleaned) for r in QUERIES["clean_mention_all"](spark, str(tmp_path)).collect()}
+    got = {(r.mention, r.cleaned) for r in QUERIES["clean_mention"](spark, str(tmp_path)).collect()}
     assert got == {("A\xa0(b)\xa0", "A"), ("\xa0C", "C"), ("D (e)", "D"), (None, None)}
