@@ -18,6 +18,15 @@ ROOT_TYPES = {"Q5": "PERS", "Q43229": "ORG", "Q618123": "LOC"}
 TYPE_PRIORITY = {"PERS": 0, "ORG": 1, "LOC": 2}
 
 
+#: The grammar of a list item that opens with a link, fixed: bullets, marks of style, a link with its target and perhaps a label.
+ITEM_MARK, ITEM_STYLE, ITEM_LINK = r"([*#]+)", r"['`_~]*", r"\[\[([^\]|#]+)(?:\|[^\]]+)?\]\]"
+#: The forms in which models answer, fixed: a named number or the first one, a named list or the first one of digits.
+ANSWER_NUMBER, ANY_NUMBER = r'(?U)"number"\s*:\s*(-?\d+)', r"-?\d+"
+ANSWER_RANKING, ANY_RANKING = r'(?U)"ranking"\s*:\s*\[([^\]]*)\]', r"(?U)\[([\d\s,]+)\]"
+#: Landis and Koch's bands of agreement, fixed.
+KAPPA_BANDS = ((0.8, "Almost perfect"), (0.6, "Substantial"), (0.4, "Moderate"), (0.2, "Fair"), (0.0, "Slight"))
+
+
 def filled(c: Column) -> Column:
     """Whether a text is neither null nor empty; never null."""
     return F.coalesce(F.length(c) > 0, F.lit(False))
@@ -117,7 +126,7 @@ def entity_links(wikitext: Column) -> Column:
     start with a colon; deeper items always count. Targets with a colon or a section mark are no entities.
     """
     body = F.element_at(F.split(wikitext, r"==\s*[Ss]ee also\s*==", 2), 1)
-    item = r"(?U)^([*#]+)\s*['`_~]*\[\[([^\]|#]+)(?:\|[^\]]+)?\]\](.*)$"
+    item = rf"(?U)^{ITEM_MARK}\s*{ITEM_STYLE}{ITEM_LINK}(.*)$"
     parsed = F.transform(lines(body), lambda x: strip(x))
     hits = F.filter(parsed, lambda x: x.rlike(item))
     fields = F.transform(hits, lambda x: F.struct(F.length(F.regexp_extract(x, item, 1)).alias("level"), strip(F.regexp_extract(x, item, 2)).alias("target"), strip(F.regexp_extract(x, item, 3)).alias("rest")))
@@ -131,14 +140,13 @@ def whole_word(words: tuple[str, ...]) -> str:
 
 def parse_number(response: Column) -> Column:
     """The option number of an answer: the value of "number", else the first integer; null if there is none or it is too long."""
-    named = F.nullif(F.regexp_extract(response, r'(?U)"number"\s*:\s*(-?\d+)', 1), F.lit(""))
-    return F.coalesce(named, F.nullif(F.regexp_extract(response, r"-?\d+", 0), F.lit(""))).try_cast("int")
+    named = F.nullif(F.regexp_extract(response, ANSWER_NUMBER, 1), F.lit(""))
+    return F.coalesce(named, F.nullif(F.regexp_extract(response, ANY_NUMBER, 0), F.lit(""))).try_cast("int")
 
 
 def parse_ranking(response: Column) -> Column:
     """The ranking of an answer: the list of "ranking", else the first list of digits; null if there is none or a member is no integer."""
-    named = r'(?U)"ranking"\s*:\s*\[([^\]]*)\]'
-    body = F.when(response.rlike(named), F.regexp_extract(response, named, 1)).when(response.rlike(r"(?U)\[([\d\s,]+)\]"), F.regexp_extract(response, r"(?U)\[([\d\s,]+)\]", 1))
+    body = F.when(response.rlike(ANSWER_RANKING), F.regexp_extract(response, ANSWER_RANKING, 1)).when(response.rlike(ANY_RANKING), F.regexp_extract(response, ANY_RANKING, 1))
     members = F.filter(F.split(F.replace(body, F.lit(","), F.lit(" ")), r"(?U)\s+"), lambda x: x != "")
     numbers = F.transform(members, lambda x: x.try_cast("int"))
     return F.when(~F.exists(numbers, lambda x: x.isNull()), numbers)
@@ -154,15 +162,14 @@ def strip_category_prefix(c: Column) -> Column:
 
 def kappa_band(kappa: Column) -> Column:
     """Landis and Koch's name for an agreement."""
-    bands = ((0.8, "Almost perfect"), (0.6, "Substantial"), (0.4, "Moderate"), (0.2, "Fair"), (0.0, "Slight"))
     out = F.when(kappa.isNull(), F.lit(None).cast("string"))
-    for least, name in bands:
+    for least, name in KAPPA_BANDS:
         out = out.when(kappa >= least, name)
     return out.otherwise("Poor")
 
 
 def short_count(n: Column) -> Column:
-    """1500 as 1.5k, 2000000 as 2M."""
+    """1500 as 1.5k, 2000000 as 2M; a half is rounded up."""
 
     def scaled(unit: float, sign: str) -> Column:
         return F.concat(F.regexp_replace(F.format_string("%.1f", n / unit), r"\.0$", ""), F.lit(sign))
@@ -177,5 +184,26 @@ def root_type(qid: Column) -> Column:
     return out
 
 
+def thumb_url(url: Column, width: int = 320) -> Column:
+    """The address of a smaller rendering of an image in the commons tree; other addresses stay."""
+    name = last_segment(url)
+    small = F.concat(F.replace(url, F.lit("/wikipedia/commons/"), F.lit("/wikipedia/commons/thumb/")), F.lit(f"/{width}px-"), name)
+    return F.when(url.contains("/wikipedia/commons/") & ~url.contains("/wikipedia/commons/thumb/"), small).otherwise(url)
+
+
+def candidate_role(qid: Column, answer: Column, text: Column, visual: Column) -> Column:
+    """Whether an entity is the answer, a candidate of both lists, of one, or none."""
+    in_text, in_visual = F.coalesce(F.array_contains(text, qid), F.lit(False)), F.coalesce(F.array_contains(visual, qid), F.lit(False))
+    return F.when(qid == answer, "answer").when(in_text & in_visual, "both").when(in_text, "text").when(in_visual, "visual").otherwise("none")
+
+
+def found_in(needle: str, *texts: Column) -> Column:
+    """Whether a search text, in any letter case, is in one of the texts; an empty one is in every row."""
+    hit = F.lit(needle == "")
+    for t in texts:
+        hit = hit | F.coalesce(F.contains(F.lower(t), F.lower(F.lit(needle))), F.lit(False))
+    return hit
+
+
 def license_of(short: Column, long: Column) -> Column:
     return or_else(short, or_else(long, F.lit("")))

@@ -28,3 +28,8 @@ def have_repeat(names: Column) -> Column:
     """Whether two members are equal, nulls and empty texts aside."""
     known = F.filter(names, lambda x: F.coalesce(F.length(x) > 0, F.lit(False)))
     return F.size(known) != F.size(F.array_distinct(known))
+
+
+def ordered_union(*arrays: Column) -> Column:
+    """The members of the arrays in order, each at its first place; a null array counts as empty."""
+    return F.array_distinct(F.concat(*[F.coalesce(a, F.array().cast("array<string>")) for a in arrays]))

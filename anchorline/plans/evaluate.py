@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -13,9 +14,14 @@ from anchorline.functions import strings as S
 KS = (1, 3, 5, 10)
 
 
+def random_key(seed: int, *keys: Column) -> Column:
+    """32 hexadecimal digits that order rows at random, the same on every run and in any engine."""
+    return F.md5(F.concat_ws(":", *[k.cast("string") for k in keys], F.lit(str(seed))))
+
+
 def seeded_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     """n rows by the hash of key and seed; all rows for n = 0. The same rows on every run."""
-    order = F.xxhash64(F.col(key), F.lit(seed))
+    order = random_key(seed, F.col(key))
     return df.orderBy(order, key).limit(n) if n else df
 
 
@@ -28,7 +34,7 @@ def candidate_lines(instances: DataFrame, kb: DataFrame, shuffle_seed: int | Non
     text = S.first_sentence(F.col("intro"), F.col("desc"))
     line = F.concat(F.coalesce("name", F.lit("")), F.when(S.filled(text), F.concat(F.lit(" - "), text)).otherwise(""))
     # qid <> answer sorts the answer to the front; ties keep the candidates' order
-    first = F.coalesce((F.col("qid") != F.col("answer")).cast("long"), F.lit(1)) if shuffle_seed is None else F.xxhash64("instance_id", "qid", F.lit(shuffle_seed))
+    first = F.coalesce((F.col("qid") != F.col("answer")).cast("long"), F.lit(1)) if shuffle_seed is None else random_key(shuffle_seed, F.col("instance_id"), F.col("qid"))
     grouped = rows.groupBy("instance_id").agg(F.first("mention").alias("mention"), F.first("answer").alias("answer"), F.array_sort(F.collect_list(F.struct(first.alias("k"), "pos", "qid", line.alias("line")))).alias("c"))
     options = F.transform("c", lambda x: x["qid"])
     prompt = F.array_join(F.transform("c", lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x["line"])), "\n")
@@ -36,6 +42,47 @@ def candidate_lines(instances: DataFrame, kb: DataFrame, shuffle_seed: int | Non
     return grouped.select("instance_id", "mention", prompt.alias("prompt"), options.alias("options"), F.when(at > 0, at).otherwise(-1).cast("int").alias("label"))
 
 
+@dataclass(frozen=True)
+class Template:
+    """The wording of a prompt. {mention} stands for the mention in header, {fields} for what each candidate is described by in intro, {n} for the
+    number of candidates in footer; none_hint follows where an answer outside of the candidates is allowed."""
+
+    header: str = "Which entity does the picture show under the name {mention}?"
+    intro: str = "Each candidate is given by {fields}."
+    footer: str = "Answer with one number from 1 to {n}."
+    none_hint: str = "Answer -1 if no candidate fits."
+    ranking: bool = False
+
+
+def fields_sentence(description: bool, image: bool) -> str:
+    names = ["its name", *["a description"] * description, *["a picture"] * image]
+    return names[0] if len(names) == 1 else f"{', '.join(names[:-1])} and {names[-1]}"
+
+
+def prompts(instances: DataFrame, kb: DataFrame, template: Template = Template(), description: bool = True, image: bool = False, allow_none: bool = False, shuffle_seed: int | None = None) -> DataFrame:
+    """(instance_id, mention, prompt, options, label): whole prompts of header, fields sentence, candidate lines, footer and, if asked for, the hint.
+
+    Without description the lines hold names only. An instance without known candidates has no prompt; a null mention reads as an empty one.
+    """
+    known = kb if description else kb.withColumn("desc", F.lit(None).cast("string")).withColumn("intro", F.lit(None).cast("string"))
+    rows = candidate_lines(instances, known, shuffle_seed)
+    fill = lambda text, name, value: F.replace(F.lit(text), F.lit("{" + name + "}"), value)
+    parts = [
+        fill(template.header, "mention", F.coalesce("mention", F.lit(""))),
+        F.lit(template.intro.replace("{fields}", fields_sentence(description, image))),
+        F.col("prompt"),
+        fill(template.footer, "n", F.size("options").cast("string")),
+        *[F.lit(template.none_hint)] * allow_none,
+    ]
+    return rows.select("instance_id", "mention", F.concat_ws("\n", *parts).alias("prompt"), "options", "label")
+
+
+def answerable(rows: DataFrame, image: Column) -> tuple[DataFrame, DataFrame]:
+    """(kept, skipped): rows with an image, and those without one with the column error; the latter don't count in any score."""
+    has = S.filled(image)
+    return rows.filter(has), rows.filter(~has).withColumn("error", F.lit("no image"))
+
+
 def generate(prompts: DataFrame, model: Callable[[], Callable[[list[str]], list[str]]]) -> DataFrame:
     """prompts with response. model makes the function that answers a batch; it is called once in each worker task."""
 

@@ -40,6 +40,11 @@ class SplitRules:
     exclude: tuple[str, ...] = ()
     forbidden: tuple[str, ...] = field(default=())
 
+    @classmethod
+    def of(cls, settings: dict) -> SplitRules:
+        """Rules from settings by name, lists becoming tuples; an unknown name raises TypeError."""
+        return cls(**{k: tuple(v) if isinstance(v, list) else v for k, v in settings.items()})
+
 
 def mention_ok(mention: Column, rules: SplitRules) -> Column:
     """A surface form without banned words, long enough, with a letter; a null one isn't ok."""

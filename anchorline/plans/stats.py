@@ -33,7 +33,7 @@ def category_totals(entries: DataFrame) -> DataFrame:
     held = F.filter(F.coalesce("categories", F.array().cast("array<string>")), lambda c: c.isNotNull())
     one = entries.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.size(held) == 0).alias("uncategorised"))
     names = entries.select(F.explode(held).alias("c")).select(S.strip_category_prefix(F.col("c")).alias("c")).distinct().agg(F.count(F.lit(1)).alias("n_categories"))
-    return one.withColumn("n_categories", F.lit(names.first()[0])).select("n", "uncategorised", F.coalesce(F.try_divide(100.0 * F.col("uncategorised"), F.col("n")), F.lit(0.0)).alias("uncategorised_pct"), "n_categories")
+    return one.withColumn("n_categories", F.lit(names.first()[0]).cast("long")).select("n", "uncategorised", F.coalesce(F.try_divide(100.0 * F.col("uncategorised"), F.col("n")), F.lit(0.0)).alias("uncategorised_pct"), "n_categories")
 
 
 def list_stage(df: DataFrame, lists: list[str], texts: list[str]) -> DataFrame:

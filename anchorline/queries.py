@@ -70,4 +70,4 @@ def p4_usage(spark: SparkSession, d: str) -> DataFrame:
     return usage.usage_by_url(read_table(spark, d, "image_usage"))
 
 
-from anchorline import queries_annotation, queries_split, queries_stats, queries_text  # noqa: E402,F401
+from anchorline import queries_annotation, queries_knowledge, queries_split, queries_stats, queries_text  # noqa: E402,F401

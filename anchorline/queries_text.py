@@ -10,6 +10,7 @@ from anchorline.registry import image_name_sql, query
 from anchorline.session import read_table
 
 _LINES = r"regexp_split_to_array({}, '\r\n|[\n\x0B\x0C\r\x1C-\x1E\x{{85}}\x{{2028}}\x{{2029}}]')"
+#: The grammar of strings.ITEM_MARK, ITEM_STYLE and ITEM_LINK, fixed.
 _ITEM = r"^([*#]+)\s*[''`_~]*\[\[([^\]|#]+)(?:\|[^\]]+)?\]\](.*)$"
 
 
@@ -146,11 +147,3 @@ def prompt_lines(spark: SparkSession, d: str) -> DataFrame:
     kb = read_table(spark, d, "entity_kb").filter("qid is not null").groupBy("qid").agg(F.min("name").alias("name"), F.min("desc").alias("desc"), F.min("intro").alias("intro"))
     rows = read_table(spark, d, "instances").select("instance_id", "mention", "answer", "text_candidates").distinct()
     return candidate_lines(rows, kb).select("instance_id", "prompt", "label")
-
-
-@query()
-def seeded_sample(spark: SparkSession, d: str) -> DataFrame:
-    """1,000 instances, the same on every run."""
-    from anchorline.plans.evaluate import seeded_sample as sample
-
-    return sample(read_table(spark, d, "instances").select("instance_id", "mention", "answer").distinct(), "instance_id", 1000)

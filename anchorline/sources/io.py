@@ -6,10 +6,13 @@ import html
 import json
 from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from anchorline.plans.evaluate import seeded_sample
+from anchorline.session import cut
+
 
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a path or glob leads to anything, on any file system that the session knows."""
@@ -64,10 +67,14 @@ def zip_lines(spark: SparkSession, left: str, right: str, left_schema: T.StructT
 
     def numbered(path: str, schema: T.StructType, name: str) -> DataFrame:
         lines = spark.read.text(path).filter(F.length(F.trim("value")) > 0)
-        pairs = lines.rdd.zipWithIndex().map(lambda x: (x[1], x[0][0])).toDF("n bigint, line string")
-        return pairs.select("n", F.from_json("line", schema, {"mode": "FAILFAST"}).alias(name))
-
-    both = numbered(left, left_schema, "a").join(numbered(right, right_schema, "b"), "n", "full").persist()
+        # a file's parts are read in order; each line's place in its part and the sizes of the parts before give its number
+        placed = cut(lines.select(F.spark_partition_id().alias("pid"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("pos"), "value"))
+        sizes = placed.groupBy("pid").agg(F.max("pos").alias("last"))  # one row a part
+        before = F.coalesce(F.sum(F.col("last") + 1).over(Window.orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        rows = placed.join(F.broadcast(sizes.select("pid", before.alias("before"))), "pid")
+        return rows.select((F.col("pos") + F.col("before")).alias("n"), F.from_json("value", schema, {"mode": "FAILFAST"}).alias(name))
+
+    both = cut(numbered(left, left_schema, "a").join(numbered(right, right_schema, "b"), "n", "full"))
     if not both.filter(F.col("a").isNull() | F.col("b").isNull()).isEmpty():
         raise ValueError(f"{left} and {right} differ in length")
     return both.orderBy("n")
@@ -109,12 +116,50 @@ def _write_text(spark: SparkSession, path: str, text: str) -> None:
     fs.rename(beside, to)
 
 
-def write_viewer(df: DataFrame, path: str, title: str, most: int = 5000) -> None:
-    """An HTML table of at most so many rows for looking at."""
-    rows = df.limit(most).collect()
+def write_table(df: DataFrame, path: str, most: int = 1000) -> None:
+    """An aligned plain-text table of at most so many rows, in the order of df."""
+    rows = [list(map(str, df.columns)), *[["" if v is None else str(v) for v in r] for r in df.limit(most).collect()]]
+    widths = [max(len(r[i]) for r in rows) for i in range(len(df.columns))]
+    lines = ["  ".join(v.ljust(w) for v, w in zip(r, widths, strict=True)).rstrip() for r in rows]
+    _write_text(df.sparkSession, path, "\n".join([lines[0], "-" * len(lines[0]), *lines[1:]]) + "\n")
+
+
+def write_split(kb: DataFrame, instances: DataFrame, folder: str) -> dict[str, int]:
+    """The two tables of a split as JSON Lines, kb and instances, with their row counts."""
+    write_jsonl(kb, f"{folder}/kb")
+    write_jsonl(instances, f"{folder}/instances")
+    return {n: kb.sparkSession.read.text(f"{folder}/{n}").count() for n in ("kb", "instances")}
+
+
+def write_predictions(rows: DataFrame, metrics: DataFrame, folder: str, config: dict) -> dict:
+    """A run of a model: predictions as JSON Lines, and beside them one object of its settings, time and metrics (the one row of metrics)."""
+    write_jsonl(rows, f"{folder}/predictions")
+    out = {"meta": {"timestamp": datetime.now(UTC).isoformat(), "config": config}, **metrics.first().asDict(recursive=True)}
+    _write_text(rows.sparkSession, f"{folder}/metrics.json", json.dumps(out, ensure_ascii=False, indent=2))
+    return out
+
+
+_SEARCH = """<input id=q placeholder=search><script>document.getElementById("q").oninput=e=>{const t=e.target.value.toLowerCase();
+for(const r of document.querySelectorAll("tbody tr"))r.hidden=!r.textContent.toLowerCase().includes(t)}</script>"""
+
+
+def write_viewer(df: DataFrame, path: str, title: str, key: str, most: int = 5000, seed: int = 42) -> None:
+    """An HTML page for looking at a seeded sample of at most so many rows (0 for all), with a field that searches them."""
+    rows = seeded_sample(df, key, most, seed).collect()
     head = "".join(f"<th>{html.escape(c)}</th>" for c in df.columns)
     body = "".join("<tr>" + "".join(f"<td>{html.escape(str(v))}</td>" for v in r) + "</tr>" for r in rows)
-    _write_text(df.sparkSession, path, f"<!doctype html><meta charset=utf-8><title>{html.escape(title)}</title><table><tr>{head}</tr>{body}</table>")
+    page = f"<!doctype html><meta charset=utf-8><title>{html.escape(title)}</title>{_SEARCH}<table><thead><tr>{head}</tr></thead><tbody>{body}</tbody></table>"
+    _write_text(df.sparkSession, path, page)
+
+
+def read_config(spark: SparkSession, path: str) -> dict:
+    """Settings from a JSON file, or a YAML file where a YAML reader is installed."""
+    text = spark.read.text(path, wholetext=True).first()[0]
+    if path.endswith((".yaml", ".yml")):
+        import yaml
+
+        return yaml.safe_load(text) or {}
+    return json.loads(text)
 
 
 class Completed:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def process_new(spark: SparkSession, source: str, schema: str, transform: Callable[[DataFrame], DataFrame], sink: str, checkpoint: str) -> None:
@@ -20,9 +19,3 @@ def process_new(spark: SparkSession, source: str, schema: str, transform: Callab
 
     stream = spark.readStream.schema(schema).parquet(source)
     stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-
-
-def late_counts(usage: DataFrame, late: str = "2 days", window: str = "1 day") -> DataFrame:
-    """Uses of images per day of use from a stream of image_usage, rows that come later than allowed left out."""
-    at = F.col("used_at").cast("timestamp")
-    return usage.withColumn("at", at).withWatermark("at", late).groupBy(F.window("at", window)).agg(F.count(F.lit(1)).alias("n"))

@@ -1,12 +1,15 @@
 import json
 
 import pytest
+from pyspark.sql.types import StructType
 
 from anchorline.operators.skew import plan_load
+from anchorline.plans import evaluate, split
 from anchorline.sources import io
 from anchorline.streaming.resume import process_new
 
 
+
 def test_jsonl_round_trip_and_policies(spark, tmp_path):
     df = spark.createDataFrame([("a", None), ("é", 2)], "k string, n int")
     io.write_jsonl(df, str(tmp_path / "x"))
@@ -59,8 +62,14 @@ def test_exports(spark, tmp_path):
         io.write_map(df, str(tmp_path / "m.json"), "k", "v", most=1)
     io.write_manifest(spark, str(tmp_path / "manifest.json"), "1", {"a": 1}, {"n": 2})
     assert json.loads((tmp_path / "manifest.json").read_text())["counts"] == {"n": 2}
-    io.write_viewer(df, str(tmp_path / "v.html"), "<t>")
-    assert "&lt;t&gt;" in (tmp_path / "v.html").read_text()
+    many = spark.range(100).selectExpr("'<r' || id || '>' as k")
+    io.write_viewer(many, str(tmp_path / "v.html"), "<t>", "k", most=10)
+    page = (tmp_path / "v.html").read_text()
+    assert "&lt;t&gt;" in page and page.count("&lt;r") == 10 and "oninput" in page
+    io.write_viewer(many, str(tmp_path / "w.html"), "<t>", "k", most=10)
+    assert (tmp_path / "w.html").read_text() == page
+    io.write_table(df.orderBy("v"), str(tmp_path / "t.txt"))
+    assert (tmp_path / "t.txt").read_text().splitlines() == ["k  v", "----", "b  1", "ä  2"]
     io.write_tsv(df, str(tmp_path / "t"))
 
 
@@ -83,3 +92,34 @@ def test_new_files_are_processed_once(spark, tmp_path):
 
 def test_plan_of_one_task(spark):
     assert plan_load(spark.createDataFrame([("a",)] * 10, "k string"), "k", 1).tasks == 1
+
+
+def test_split_and_predictions(spark, tmp_path):
+    kb = spark.createDataFrame([("Q1", None)], "qid string, name string")
+    rows = spark.createDataFrame([("m", "Q1"), ("n", "Q1")], "mention string, answer string")
+    assert io.write_split(kb, rows, str(tmp_path / "s")) == {"kb": 1, "instances": 2}
+    assert spark.read.json(str(tmp_path / "s" / "instances")).count() == 2
+    preds = spark.createDataFrame([(1, 1, 2), (None, 1, 4)], "number int, label int, pool_size int")
+    out = io.write_predictions(preds, evaluate.accuracy(preds), str(tmp_path / "p"), {"model": "none", "limit": 2})
+    kept = json.loads((tmp_path / "p" / "metrics.json").read_text())
+    assert kept == out and kept["accuracy"] == 0.5 and kept["n_unparsed"] == 1 and kept["meta"]["config"]["limit"] == 2
+    assert spark.read.json(str(tmp_path / "p" / "predictions")).count() == 2
+
+
+def test_config_gives_rules(spark, tmp_path):
+    (tmp_path / "c.json").write_text('{"min_side": 100, "types": ["PERS"], "max_visual": 3}')
+    rules = split.SplitRules.of(io.read_config(spark, str(tmp_path / "c.json")))
+    assert (rules.min_side, rules.types, rules.max_visual, rules.min_pool) == (100, ("PERS",), 3, 2)
+    with pytest.raises(TypeError):
+        split.SplitRules.of({"no_such_rule": 1})
+
+
+def test_lines_of_several_parts_are_zipped_in_order(spark, tmp_path):
+    for name in "ab":
+        (tmp_path / name).write_text("".join(f'{{"x": {i}}}\n' + "\n" * (name == "a" and i % 7 == 0) for i in range(5000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        got = io.zip_lines(spark, str(tmp_path / "a"), str(tmp_path / "b"), StructType.fromDDL("x int"), StructType.fromDDL("x int")).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [(r.n, r.a.x, r.b.x) for r in got] == [(i, i, i) for i in range(5000)]
