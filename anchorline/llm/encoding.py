@@ -36,7 +36,7 @@ TWICE = ("cp1252", "latin-1", "cp1250", "cp1251", "cp437", "mac_roman")
 #: encoding and left signs among letters, which chance doesn't, more where the form could be a word of its own.
 MIN_RATIO, MIN_RATIO_OTHER = 1, 6
 #: A form that looks like a word (letters of one script) counts only in documents with so many of them, or if it has so many characters.
-MIN_WORDLIKE, MIN_LONE = 2, 8
+MIN_WORDLIKE, MIN_LONE = 2, 5
 #: Words of a document that one chain must explain where the forms are too frequent for these ratios: forms with signs that no word has, and forms like words.
 MIN_SHARED, MIN_SHARED_OTHER = 2, 3
 #: Documents in which a word counts as attested when a text is read back.
@@ -49,6 +49,8 @@ WORD_BITS = 1 << 27
 _SPLIT = re.compile(r"[^ \t\r\n]+")
 _RUN = re.compile(r"[^\x00-\x7f]+")
 _ENDS = ".,;:()[]'\"*|{}=<>!?"
+#: What no word holds, however read: control characters (but for the one that ends a line) and drawing characters between letters.
+_NEVER = re.compile(r"[\x80-\x84\x86-\x9f]|(?<=[^\W\d_])[\u2320\u2321\u2500-\u259f](?=[^\W\d_])")
 _CONTROLS = dict.fromkeys(range(0x80, 0xA0))
 
 
@@ -136,6 +138,8 @@ def _odd_case(word: str) -> bool:
 def _judged(word: str, g: str, chain: str, certain: bool) -> tuple[str, int, bool, bool] | None:
     """(chain, times that the original must be as frequent, whether it is a sign by itself, whether only the original looks like a word), if g can count at all."""
     wordlike, letters = _wordlike(g), _wordlike(word)
+    if _NEVER.search(g) and not _NEVER.search(word):
+        return chain, MIN_RATIO, True, True
     certain = certain and not wordlike
     if len(g) < (2 if certain else 3) or g.isascii() or g == word or not g.strip("�"):
         return None

@@ -137,3 +137,10 @@ def test_every_form_passes_the_filter_of_its_words(spark):
     df = spark.createDataFrame([(encoding.join_key(g),) for g in forms], "key string")
     bits = encoding._filter_of(df, "key", len(forms))
     assert all(encoding._may_be(encoding.join_key(g), bits) for g in forms)
+
+
+def test_controls_are_signs_by_themselves(spark):
+    """One dash that became a control character; a next-line character is correct."""
+    docs = spark.createDataFrame([(1, "a — b"), (2, "c — d…"), (3, "x \x97 y"), (4, "line\x85next é"), (5, "é")], DOCS)
+    assert [r.doc_id for r in encoding.garbled_documents(docs).collect()] == [3]
+    assert encoding.restored_documents(docs).first().text == "x — y"
